@@ -5,6 +5,7 @@ from __future__ import annotations
 from reelquery.llm.licenses import OP5_SQL, op5_license_scan
 from reelquery.llm.line_dedup import OP7_SQL, op7_line_dedup
 from reelquery.llm.mixing import OP10_SQL, op10_mix_sources
+from reelquery.llm.pieces import op8_sentencepiece
 from reelquery.llm.secrets import OP1_SQL, op1_secret_scan
 from reelquery.llm.sharding import op3_shards
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_shards": op3_shards,
     "op5_license_scan": op5_license_scan,
     "op7_line_dedup": op7_line_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_mix_sources": op10_mix_sources,
 }
 
