@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from reelquery.llm.languages import op2_language_mixtures
 from reelquery.llm.licenses import OP5_SQL, op5_license_scan
 from reelquery.llm.line_dedup import OP7_SQL, op7_line_dedup
 from reelquery.llm.mixing import OP10_SQL, op10_mix_sources
@@ -11,6 +12,7 @@ from reelquery.llm.sharding import op3_shards
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_language_mixtures": op2_language_mixtures,
     "op3_shards": op3_shards,
     "op5_license_scan": op5_license_scan,
     "op7_line_dedup": op7_line_dedup,
