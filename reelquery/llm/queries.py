@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from reelquery.llm.digests import op6_digests
 from reelquery.llm.languages import op2_language_mixtures
 from reelquery.llm.licenses import OP5_SQL, op5_license_scan
 from reelquery.llm.line_dedup import OP7_SQL, op7_line_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_language_mixtures": op2_language_mixtures,
     "op3_shards": op3_shards,
     "op5_license_scan": op5_license_scan,
+    "op6_digests": op6_digests,
     "op7_line_dedup": op7_line_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_mix_sources": op10_mix_sources,
