@@ -56,3 +56,21 @@ def unit(key: Column) -> Column:
 
 def id_text(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("null"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, component (the smallest id) of the connected components of the edges a, b.
+
+    Each round a node takes the smallest label around it and then that label's label, so the
+    number of rounds follows the logarithm of the components' diameter. Every round is written.
+    """
+    both = spool(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = spool(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    while True:
+        around = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        nearer = labels.join(around, "a").select("a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
+        new = spool(nearer.join(jump, "label").select("a", "old", F.least("label", "further").alias("label")), "labels")
+        labels = new.select("a", "label")
+        if new.filter("label < old").isEmpty():
+            return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))

@@ -8,6 +8,7 @@ from reelquery.llm.licenses import OP5_SQL, op5_license_scan
 from reelquery.llm.line_dedup import OP7_SQL, op7_line_dedup
 from reelquery.llm.mixing import OP10_SQL, op10_mix_sources
 from reelquery.llm.ngram_join import OP9_SQL, op9_ngram_join
+from reelquery.llm.nn_descent import op4_near_duplicates
 from reelquery.llm.pieces import op8_sentencepiece
 from reelquery.llm.secrets import OP1_SQL, op1_secret_scan
 from reelquery.llm.sharding import op3_shards
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_mixtures": op2_language_mixtures,
     "op3_shards": op3_shards,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_license_scan": op5_license_scan,
     "op6_digests": op6_digests,
     "op7_line_dedup": op7_line_dedup,
