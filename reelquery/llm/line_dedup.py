@@ -56,7 +56,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
 
     Such a line stays in the document with the smallest doc_id that has it, so nothing is
     lost from the corpus. Columns: those of docs, text and n_chars without the lines, and
-    lines_removed. Null text stays null with 0 removed, and so do empty texts. A null source
+    lines_removed (with _ after it while docs has such a column). Null text stays null with 0 removed, and so do empty texts. A null source
     counts as no site. Blank lines are never removed. Rows with equal doc_id, or none, are
     one document for the rule of what stays. A text whose lines all go becomes ''.
     """
@@ -75,7 +75,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     new = F.filter(old, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(drop), _key(x)))
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(new, "\n"))
     removed = F.when(F.col(drop).isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(old) - F.size(new)).cast("bigint")
-    out = joined.withColumns({"lines_removed": removed, "text": text})
+    out = joined.withColumns({fresh(docs, "lines_removed"): removed, "text": text})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
     return out.drop(drop)
