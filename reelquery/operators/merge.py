@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,11 +48,12 @@ def _segment(s: Column, end: Column) -> Column:
     )
 
 
-def fold_runs(frames: DataFrame, gap: int = GAP) -> DataFrame:
+def fold_runs(frames: DataFrame, gap: int = GAP, widen: bool = False) -> DataFrame:
     """video_id, segments: as runs, but a gap also ends with a text that contains the one before it or is in it.
 
-    Such a frame counts for the confidence and for frame_count, but isn't in frames. A left
-    fold over a video's frames, which must fit in a row.
+    Such a frame counts for the confidence and for frame_count, but isn't in frames. widen:
+    y_range is around all frames and not the first one's. A left fold over a video's frames,
+    which must fit in a row.
     """
     none = F.lit(None)
     rows = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "text", "text_confidence", "y_range"))).alias("fs"))
@@ -73,7 +73,8 @@ def fold_runs(frames: DataFrame, gap: int = GAP) -> DataFrame:
         fresh = lambda out: build(text, ts, ts, f["y_range"], F.lit(0), conf, F.lit(1), F.array(me), out)
         marked = build(s["text"], s["start"], s["end"], s["y"], F.when(opened & (s["gap"] == 0), ts).otherwise(s["gap"]), s["sum"], s["n"], s["frames"], s["out"])
         resumed = build(s["text"], s["start"], ts, s["y"], F.lit(0), s["sum"] + conf, s["n"] + 1, s["frames"], s["out"])
-        longer = build(s["text"], s["start"], ts, s["y"], F.lit(0), s["sum"] + conf, s["n"] + 1, F.concat(s["frames"], F.array(me)), s["out"])
+        y = F.array(F.least(s["y"][0], f["y_range"][0]), F.greatest(s["y"][1], f["y_range"][1])) if widen else s["y"]
+        longer = build(s["text"], s["start"], ts, y, F.lit(0), s["sum"] + conf, s["n"] + 1, F.concat(s["frames"], F.array(me)), s["out"])
         back = (F.greatest(ts - s["gap"], F.lit(0)) <= gap) & (same | is_substring_of(text, s["text"]))
         return (
             F.when(text == "", marked)
@@ -215,12 +216,54 @@ def drop_noise(segments: list[dict]) -> list[dict]:
     return out
 
 
+def dedup_all(segments: list[dict], distance: int = 1) -> list[dict]:
+    """Every later segment that overlaps or touches an earlier one, with almost the same text, goes into it; then pauses are closed from the end.
+
+    An older form of the passes: pairs needn't be neighbours, short words aren't spared,
+    y_range grows, and overlaps aren't pauses.
+    """
+
+    def joined(a: dict, b: dict) -> dict:
+        y = [min(a["y_range"][0], b["y_range"][0]), max(a["y_range"][1], b["y_range"][1])]
+        text = a["text"] if len(a["text"]) >= len(b["text"]) else b["text"]
+        return a | {"text": text, "start_ms": min(a["start_ms"], b["start_ms"]), "end_ms": max(a["end_ms"], b["end_ms"]), "y_range": y} | summed(a, b)
+
+    def summed(a: dict, b: dict) -> dict:
+        return {"text_confidence": (a["text_confidence"] + b["text_confidence"]) / 2, "frame_count": a["frame_count"] + b["frame_count"], "frames": [*a["frames"], *b["frames"]]}
+
+    out = list(segments)
+    i = 0
+    while i < len(out):
+        j = i + 1
+        while j < len(out):
+            a, b = out[i], out[j]
+            apart = max(a["start_ms"], b["start_ms"]) - min(a["end_ms"], b["end_ms"])
+            if apart <= TOUCH and _distance(a["text"], b["text"]) <= distance:
+                out[i] = joined(a, out.pop(j))
+            else:
+                j += 1
+        i += 1
+    for i in range(len(out) - 1, 0, -1):
+        a, b = out[i - 1 : i + 1]
+        if "".join(a["text"].split()) == "".join(b["text"].split()) and 0 <= b["start_ms"] - a["end_ms"] <= PAUSE:
+            out[i - 1 : i + 1] = [a | {"end_ms": b["end_ms"]} | summed(a, b)]
+    return out
+
+
+def merge_frames_older(frames: DataFrame) -> DataFrame:
+    """video_id, segments by the older passes. Not to be mixed with merge_frames."""
+    return _each(fold_runs(frames, widen=True), dedup_all)
+
+
 def remove_triplet_noise(videos: DataFrame) -> DataFrame:
     """video_id, segments after drop_noise. Its cursor moves back after a merge, which no built-in fold can do."""
+    return _each(videos, drop_noise)
+
 
+def _each(videos: DataFrame, f) -> DataFrame:
     def run(batches):
         for pdf in batches:
-            pdf["segments"] = [drop_noise([dict(s) for s in v]) for v in pdf["segments"]]
+            pdf["segments"] = [f([dict(s) | {"frames": list(s["frames"])} for s in v]) for v in pdf["segments"]]
             yield pdf
 
     return videos.select("video_id", F.col("segments").cast(f"array<{SEGMENT}>").alias("segments")).mapInPandas(run, f"video_id bigint, segments array<{SEGMENT}>")

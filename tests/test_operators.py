@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelquery.functions import geometry, text
-from reelquery.operators import align, boxes, decode, layout, pixels, segments, stats
+from reelquery.operators import align, boxes, decode, layout, pixels, recognition, segments, stats
 from reelquery.session import spool_to
 from reelquery.sources.adapters import BOX
 
@@ -285,3 +285,39 @@ def test_text_boxes(spark):
 def test_bands(spark):
     rows = spark.createDataFrame([(1, y, 200) for y in [*range(30, 50), *range(60, 70), 150]], "img_id bigint, y int, height int")
     assert [(r.lb, r.le) for r in pixels.row_bands(rows, 12, 20).collect()] == [(18, 81)]
+
+
+def test_crops():
+    im = np.arange(20 * 30 * 3).reshape(20, 30, 3).astype(np.uint8)
+    square = np.array([[5, 4], [14, 4], [14, 9], [5, 9]], float)
+    assert (recognition.upright_crop(im, square) == im[4:10, 5:15]).all()
+    assert recognition.upright_crop(im, square + 100).shape == (1, 1, 3)
+    straight = recognition.warped_crop(im, square)
+    assert straight.shape == (5, 9, 3) and (straight[0, 0] == im[4, 5]).all() and (straight[-1, -1] == im[9, 14]).all()
+    high = recognition.warped_crop(im, np.array([[5, 2], [10, 2], [10, 18], [5, 18]], float))
+    assert high.shape == (5, 16, 3) and (high[0, 0] == im[18, 5]).all()
+
+
+def test_reading_with_given_models(spark):
+    class Fake:
+        def detect(self, image):
+            assert image.shape[0] == 3 and image.shape[1] % 32 == image.shape[2] % 32 == 0
+            out = np.zeros(image.shape[1:])
+            h, w = out.shape
+            out[h // 4 : h // 2, w // 4 : w // 2] = 0.95
+            return out
+
+        def turned(self, line):
+            return np.array([0.05, 0.95])
+
+        def read(self, line):
+            assert line.shape[:2] == (3, 48)
+            return np.array([[0.1, 0.9, 0.0], [0.9, 0.1, 0.0], [0.1, 0.8, 0.0], [0.0, 0.1, 0.7]])
+
+    (b,) = recognition.read_image(np.zeros((200, 400, 3), np.uint8), Fake(), ["", "x", "y"], lower=0.5)
+    assert (b["text"], b["text_confidence"]) == ("xxy", pytest.approx(0.8)) and b["y_range"][0] >= 100
+    start = recognition.reader(Fake, lambda c: np.zeros((100, 100, 3), np.uint8), ["", "x"])
+    assert start()(b"")[0]["text"] == "xx"
+    assert one(spark, recognition.without_alpha(F.array(*map(F.lit, range(8))))) == [0, 1, 2, 4, 5, 6]
+    df = spark.createDataFrame([(1, 300.0, 10.0), (1, 500.0, 10.0)], "video_id int, ms double, s double")
+    assert tuple(recognition.speed(df, F.col("s"), F.col("ms")).first()) == (1, 2, 0.8, 400.0, 0.08)
