@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +20,35 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
+def bit_distance(a: str, b: str) -> int:
+    """Levenshtein distance by bit vectors: a column of the table is two integers of len(a) bits, and a step to the next a few operations on them."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = full, 0, len(a)
+    for c in b:
+        equal = at.get(c, 0)
+        kept = (((equal & up) + up) ^ up) | equal | down
+        more, less = down | full & ~(kept | up), kept & up
+        score += bool(more & top) - bool(less & top)
+        more = more << 1 | 1
+        up, down = full & (less << 1 | ~(kept | more)), full & more & kept
+    return score
+
+
+def edit_distance_long(a: Column, b: Column) -> Column:
+    """edit_distance for texts of thousands of characters; the built-in one takes a step for each pair of characters."""
+
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else bit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+    return run(a, b)
+
+
 def is_substring_of(a: Column, b: Column) -> Column:
     """Whether the shorter, in bytes, is in the longer; false for empty texts or equal lengths."""
     la, lb = F.octet_length(a), F.octet_length(b)

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def first_mode(df: DataFrame, keys: list[str], value: list[Column], order: list[Column], names: list[str]) -> DataFrame:
     """keys and names: the raw values where a rounded value first reaches the highest count, in the given order.
 
     Rounding is half away from zero. The built-in mode() doesn't say which of equals it returns.
+    Of the rounded values with the highest count, the first to reach it is the one whose last
+    occurrence comes first, so two aggregations do, combined before the shuffle.
     """
-    rounded = [F.round(v) for v in value]
-    nth = F.row_number().over(Window.partitionBy(*keys, *rounded).orderBy(*order))
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    rows = df.select(*keys, nth.alias("nth"), pos.alias("pos"), F.struct(*[v.alias(n) for n, v in zip(names, value)]).alias("v"))
-    return rows.groupBy(*keys).agg(F.max_by("v", F.struct("nth", -F.col("pos"))).alias("v")).select(*keys, "v.*")
+    at, raw = F.struct(*order), F.struct(*[v.alias(n) for n, v in zip(names, value)])
+    each = df.groupBy(*keys, *[F.round(v).alias(f"rounded_{n}") for n, v in zip(names, value)]).agg(F.count("*").alias("n"), F.max(at).alias("last"), F.max_by(raw, at).alias("v"))
+    return each.groupBy(*keys).agg(F.min_by("v", F.struct(-F.col("n"), F.col("last"))).alias("v")).select(*keys, "v.*")
 
 
 def box_stats(boxes: DataFrame) -> DataFrame:

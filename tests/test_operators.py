@@ -321,3 +321,10 @@ def test_reading_with_given_models(spark):
     assert one(spark, recognition.without_alpha(F.array(*map(F.lit, range(8))))) == [0, 1, 2, 4, 5, 6]
     df = spark.createDataFrame([(1, 300.0, 10.0), (1, 500.0, 10.0)], "video_id int, ms double, s double")
     assert tuple(recognition.speed(df, F.col("s"), F.col("ms")).first()) == (1, 2, 0.8, 400.0, 0.08)
+
+
+def test_long_edit_distance(spark):
+    r = np.random.default_rng(9)
+    rows = [("".join(r.choice(list("abc師"), r.integers(0, 90))), "".join(r.choice(list("abc師"), r.integers(0, 90)))) for _ in range(200)] + [("", "ab"), ("ab", ""), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string").select(F.levenshtein("a", "b").alias("x"), text.edit_distance_long(F.col("a"), F.col("b")).alias("y"))
+    assert all(p.x == p.y for p in df.collect())
