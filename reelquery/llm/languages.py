@@ -169,7 +169,8 @@ def mixtures(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np
 
 
 def accepted(shares: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return (words > 0) & (shares[:, -1] < MAX_UNKNOWN)
+    """Whether a text has words, most of them in known languages; where no language is known, nothing can be said against one."""
+    return (words > 0) & ((shares[:, -1] < MAX_UNKNOWN) | (shares.shape[1] == 1))
 
 
 def infer(docs: DataFrame, model: Model) -> DataFrame:
@@ -178,7 +179,7 @@ def infer(docs: DataFrame, model: Model) -> DataFrame:
 
     Whole texts count. Null texts and texts without letters have no languages, 0 words and
     aren't accepted. Repeated rows are inferred as often as they occur. A model without
-    languages accepts nothing.
+    languages accepts all texts with letters.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
