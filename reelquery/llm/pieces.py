@@ -26,7 +26,7 @@ from reelquery.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters that are advanced together.
-CHUNK = 1_500_000
+CHUNK = 750_000
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
