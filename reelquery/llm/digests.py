@@ -113,10 +113,9 @@ def digests(docs: DataFrame) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            texts = batch.column(2).to_pylist()
             langs = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                counts, size = bucket_counts([t or "" for t in texts[a:b]])
+            for a, b, texts in chunks(batch.column(2)):
+                counts, size = bucket_counts([t or "" for t in texts])
                 out = to_text(*encode(counts, size))
                 for i in range(a, b):
                     if langs[i] not in sums:
@@ -128,7 +127,7 @@ def digests(docs: DataFrame) -> DataFrame:
                     [
                         batch.column(0).slice(a, n),
                         batch.column(1).slice(a, n).cast(pa.string()),
-                        pa.array([None if texts[a + i] is None else int(size[i]) for i in range(n)], pa.int64()),
+                        pa.array([None if texts[i] is None else int(size[i]) for i in range(n)], pa.int64()),
                         pa.array([out[i] if size[i] >= WINDOW else None for i in range(n)], pa.string()),
                         pa.nulls(n, pa.list_(pa.int64())),
                     ],

@@ -186,9 +186,8 @@ def infer(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                shares, words, gain = mixtures(m, [t or "" for t in texts[a:b]])
+            for a, b, texts in chunks(batch.column(1)):
+                shares, words, gain = mixtures(m, [t or "" for t in texts])
                 names, parts = [], []
                 for row in shares[:, :-1]:
                     order = [i for i in np.argsort(-row, kind="stable").tolist() if row[i] > 0]
@@ -210,8 +209,7 @@ def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keep = [accepted(*mixtures(shared.value, [t or "" for t in texts[a:b]])[:2]) for a, b in chunks(texts)]
+            keep = [accepted(*mixtures(shared.value, [t or "" for t in texts])[:2]) for _, _, texts in chunks(batch.column(at))]
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 

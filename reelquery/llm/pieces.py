@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from reelquery.llm.common import table
@@ -343,16 +344,16 @@ def codec(path: str = MODEL) -> Codec:
         return Codec(*read_model(f.read()))
 
 
-def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about most characters together; a longer text is alone."""
+def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first, end, texts) of ranges of rows with about most characters together; a longer text is alone. Only these texts are held."""
     a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t) if t else 0
+    for i, size in enumerate(pc.fill_null(pc.utf8_length(column), 0).to_pylist()):
+        n += size
         if n > most and i > a:
-            yield a, i
-            a, n = i, len(t) if t else 0
-    if a < len(texts):
-        yield a, len(texts)
+            yield a, i, column.slice(a, i - a).to_pylist()
+            a, n = i, size
+    if a < len(column):
+        yield a, len(column), column.slice(a).to_pylist()
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -368,11 +369,10 @@ def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                part = [t or "" for t in texts[a:b]]
+            for a, b, texts in chunks(batch.column(1)):
+                part = [t or "" for t in texts]
                 ids, n = model.encode(part)
-                null = np.array([t is None for t in texts[a:b]])
+                null = np.array([t is None for t in texts])
                 offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32), mask=np.append(null, False)) if null.any() else pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
                 back = model.decode(ids, n)
                 decoded = pa.array([None if x else t for t, x in zip(back, null)], pa.string()) if null.any() else pa.array(back, pa.string())
