@@ -274,6 +274,25 @@ def test_nn_descent_finds_near_duplicates(spark, monkeypatch, block):
     assert all(p.cosine >= 0.95 for p in got)
 
 
+def test_copies_of_one_vector_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BLOCK", 64)
+    r = np.random.default_rng(2)
+    v = r.standard_normal((1, 16))
+    x = np.concatenate([np.repeat(v, 400, axis=0), np.repeat(-v, 20, axis=0)])
+    got = {(p.vec_id_a, p.vec_id_b) for p in nn_descent.near_duplicates(vectors(spark, x)).collect()}
+    assert got == true_pairs(x, 0.95) and len(got) == 400 * 399 // 2 + 20 * 19 // 2
+
+
+def test_low_recall_raises(spark, monkeypatch):
+    seeds = []
+    monkeypatch.setattr(nn_descent, "audit", lambda *_: 0.5)
+    real = nn_descent.neighbours
+    monkeypatch.setattr(nn_descent, "neighbours", lambda *a, **k: seeds.append(k["seed"]) or real(*a, **k))
+    with pytest.raises(RuntimeError, match="0.500"):
+        nn_descent.near_duplicates(vectors(spark, np.random.default_rng(3).standard_normal((30, 4))))
+    assert len(set(seeds)) == nn_descent.DOUBLINGS + 1
+
+
 def test_lists_of_nn_descent_converge(spark):
     x = np.random.default_rng(6).standard_normal((400, 8))
     v = nn_descent.spool(nn_descent.unit_vectors(vectors(spark, x)), "v")
