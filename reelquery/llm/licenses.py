@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from reelquery.llm.common import spool, table
 
 #: Share of a template's distinct tokens that a block must hold.
 THRESHOLD = Fraction(4, 5)
+#: Words of a wrapped notice, at most, as a multiple of the template's: room for marks of comments.
+LOOSE = Fraction(3, 2)
 #: Notices and characteristic sentences of public licenses.
 TEMPLATES = {
     "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
@@ -94,8 +97,87 @@ def scan_blocks(docs: DataFrame, templates: Mapping[str, str] | None = None, thr
     )
 
 
+def _wrapped(text: str, template: list[str], tokens: set[str], need: int, most: int) -> list[tuple[int, int]]:
+    """(first line, overlap) of the passages over several lines of a lower-case text; those of the greatest overlap first, then with most of the template's pairs of words, then the shortest; disjoint."""
+    follow = set(zip(template, template[1:]))
+    words, line = [], []
+    for b, row in enumerate(text.split("\n")):
+        found = re.findall(r"[a-z0-9]+", row)
+        # A line that matches alone is a block of scan_blocks, and no part of a passage.
+        words += [None] if len(tokens.intersection(found)) >= need else found
+        line += [b] * (len(words) - len(line))
+    at = [i for i, w in enumerate(words) if w in tokens or w is None]
+    found = []
+    for n, i in enumerate(at):
+        if words[i] is None or n + need > len(at) or at[n + need - 1] - i >= most:
+            continue
+        seen: set[str] = set()
+        pairs: set[tuple[str, str]] = set()
+        last = i
+        for j in at[n:]:
+            if j - i >= most or words[j] is None:
+                break
+            pair = (words[j - 1], words[j])
+            paired = j > i and pair in follow and pair not in pairs
+            if paired:
+                pairs.add(pair)
+            if paired or words[j] not in seen:
+                seen.add(words[j])
+                last = j
+        if len(seen) >= need and line[last] > line[i]:
+            found.append((-len(seen), -len(pairs), last - i, i, last))
+    taken: list[tuple[int, int]] = []
+    out = []
+    for o, _, _, i, j in sorted(found):
+        if all(j < a or i > b for a, b in taken):
+            # Words that the passage repeats belong to it, as far as the template is long.
+            while i and words[i - 1] in tokens and j - i + 1 < len(template) and all(i - 1 > b or j < a for a, b in taken):
+                i -= 1
+            taken.append((i, j))
+            out.append((line[i], -o))
+    return out
+
+
+def scan_wrapped(docs: DataFrame, templates: Mapping[str, str] | None = None, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """doc_id, block, template, overlap, containment of the notices that are wrapped over lines, block being the first line.
+
+    A notice is a passage over several lines that holds at least threshold of a template's
+    distinct tokens in at most LOOSE times the template's words. Lines that match alone are
+    left to scan_blocks. Only texts that hold enough of a template's tokens at all are searched.
+    """
+    given = TEMPLATES if templates is None else templates
+    plan = []
+    for t, x in given.items():
+        if tokens := tokens_of(x):
+            ordered = re.findall(r"[a-z0-9]+", x.lower())
+            plan.append((t, ordered, set(tokens), math.ceil(threshold * len(tokens)), math.ceil(LOOSE * len(ordered))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (text, held) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                held = set(held)
+                for t, ordered, tokens, need, most in plan:
+                    if len(held & tokens) >= need:
+                        rows += [(i, b, t, o, o / len(tokens)) for b, o in _wrapped(text, ordered, tokens, need, most)]
+            i, b, t, o, c = zip(*rows) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i, pa.int64())), pa.array(b, pa.int32()), pa.array(t, pa.string()), pa.array(o, pa.int32()), pa.array(c, pa.float64())], ["doc_id", "block", "template", "overlap", "containment"])
+
+    words = F.array(*[F.lit(w) for w in sorted({w for _, _, x, *_ in plan for w in x})]).cast("array<string>")
+    lower = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", F.lower("text").alias("text"))
+    # Explode computes the tokens once; a projection would be repeated for each template.
+    held = lower.select("doc_id", "text", F.explode(F.array(F.array_intersect(F.split("text", "[^a-z0-9]+"), words))).alias("held"))
+    enough = F.lit(False)
+    for _, _, x, need, _ in plan:
+        enough = enough | (F.size(F.array_intersect("held", F.array(*[F.lit(w) for w in sorted(x)]))) >= need)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return held.filter(enough).mapInArrow(run, f"doc_id {kind}, block int, template string, overlap int, containment double").distinct()
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_blocks(table(spark, sf_dir, "documents"))
+    """The lines that match a template, as in OP5_SQL, and the notices that are wrapped over lines."""
+    docs = table(spark, sf_dir, "documents")
+    return scan_blocks(docs).unionByName(scan_wrapped(docs))
 
 
 def _sql() -> str:

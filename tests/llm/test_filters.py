@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import textwrap
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -68,6 +69,27 @@ def test_license_scan_is_exact(docs):
         assert got == want
 
 
+@pytest.mark.parametrize("width, mark", [(40, ""), (72, "# "), (80, " * "), (100, "// ")])
+def test_wrapped_notices_are_found(spark, docs, tmp_path, width, mark):
+    long = {t: x for t, x in licenses.TEMPLATES.items() if len(x) > 120}
+    rows, want = [], set()
+    for i, (t, x) in enumerate(sorted(long.items())):
+        lines = [mark + y for y in textwrap.wrap(x, width)]
+        text = "\n".join(["kozu zoku", *lines, "kozu", mark, *lines, "okuz"])
+        rows.append((i, text, "en", "s"))
+        want |= {(i, 1, t), (i, 3 + len(lines), t)}
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.block, r.template) for r in licenses.op5_license_scan(spark, str(tmp_path)).collect()}
+    # The first words of apache-2.0-notice are a template of their own.
+    assert {g for g in got if g[2] in long} == want
+
+
+def test_passages_are_not_put_together_from_afar(docs):
+    rows = [(1, "all\nrights\nreserved", "en", "a"), (2, "all\n" + "kozu\n" * 9 + "rights reserved", "en", "a"), (3, "all rights reserved\nall", "en", "a")]
+    assert [(r.doc_id, r.block, r.overlap) for r in licenses.scan_wrapped(docs(rows)).collect()] == [(1, 0, 3)]
+    assert licenses.scan_wrapped(docs(rows), {}).count() == 0
+
+
 def test_license_scan_of_odd_and_no_documents(odd, empty):
     assert licenses.scan_blocks(odd).count() == 0
     assert licenses.scan_blocks(empty).count() == 0
