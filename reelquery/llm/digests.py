@@ -19,6 +19,8 @@ TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4), (0, 1, 4), (0, 3, 4))
 WINDOW = 5
 #: The greatest difference score.
 BOUND = 300
+#: The greatest score of near digests; one block of codes more than that.
+NEAR = 10
 
 
 def bucket_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,5 +157,110 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def _parts(bound: int) -> np.ndarray:
+    """Masks (bytes of a plane) of bound + 1 blocks of codes: two digests with a score of at most bound are equal in one."""
+    of = np.arange(BUCKETS) % (bound + 1)
+    return np.packbits(of[None, :] == np.arange(bound + 1)[:, None], axis=1)
+
+
+def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """difference() of digests as rows of 34 bytes, without its bound."""
+
+    def steps(d: np.ndarray) -> np.ndarray:
+        return np.where(d <= 1, d, (d - 1) * 12)
+
+    def circle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = np.abs(x.astype(np.int64) - y)
+        return np.minimum(d, 16 - d)
+
+    total = steps(np.abs(a[:, 0].astype(np.int64) - b[:, 0]))
+    total += steps(circle(a[:, 1] >> 4, b[:, 1] >> 4)) + steps(circle(a[:, 1] & 15, b[:, 1] & 15))
+    x, y = a[:, 2:18] ^ b[:, 2:18], a[:, 18:] ^ b[:, 18:]
+    both, crossed = x & y, a[:, 2:18] ^ a[:, 18:]
+    # Both bits differ: 0 and 3 (6), or 1 and 2 (1).
+    count = lambda z: np.bitwise_count(z).sum(1, dtype=np.int64)
+    return total + count(y & ~both) + 2 * count(x & ~both) + count(both & crossed) + 6 * count(both & ~crossed)
+
+
+def near_pairs(digests_: DataFrame, bound: int = NEAR) -> DataFrame:
+    """a < b, score: the pairs of different digests with a score of at most bound, exact.
+
+    A score of at most bound leaves one of bound + 1 blocks of codes equal, so digests are
+    compared within a block's value, and there only where their lengths are near. A pair is
+    given by the first block in which it is equal.
+    """
+    masks = _parts(bound)
+    # A length further away than this scores more than bound.
+    apart = bound // 12 + 1 if bound else 0
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [bytes.fromhex(x) for x in batch.column(0).to_pylist()]
+            if not raw:
+                continue
+            d = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+            for part, m in enumerate(masks):
+                own = np.concatenate([d[:, 2:18] & m, d[:, 18:] & m], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), part, np.int32)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(raw, pa.binary())], ["part", "own", "digest"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            if held and held[-1].column(0)[0].as_py() != key[0]:
+                yield from compare(held)
+                held = []
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from compare([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from compare(held)
+
+    def compare(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate([h.column(0).to_numpy() for h in held])
+        part = np.concatenate([h.column(1).to_numpy() for h in held])
+        d = np.frombuffer(b"".join(x for h in held for x in h.column(2).to_pylist()), np.uint8).reshape(len(key), -1)
+        i, o = np.arange(len(key)), 0
+        while len(i):
+            o += 1
+            i = i[i + o < len(key)]
+            # Rows are sorted by key and digest, and so by length: what is too far once stays so.
+            i = i[(key[i] == key[i + o]) & (d[i + o, 0].astype(np.int64) - d[i, 0] <= apart)]
+            for at in range(0, len(i), 50_000):
+                u = i[at : at + 50_000]
+                v = u + o
+                score = scores(d[u], d[v])
+                hit = np.flatnonzero((score <= bound) & (score > 0) & (part[u] == part[v]))
+                if not len(hit):
+                    continue
+                u, v, score = u[hit], v[hit], score[hit]
+                differs = (d[u, 2:18] ^ d[v, 2:18]) | (d[u, 18:] ^ d[v, 18:])
+                first = (~(differs[:, None, :] & masks[None]).any(2)).argmax(1)
+                one = np.flatnonzero(first == part[u])
+                yield pa.RecordBatch.from_arrays([pa.array([d[x].tobytes().hex() for x in u[one]], pa.string()), pa.array([d[x].tobytes().hex() for x in v[one]], pa.string()), pa.array(score[one].astype(np.int32))], ["a", "b", "score"])
+
+    rows = digests_.filter(F.col("digest").isNotNull()).select("digest").distinct()
+    rows = rows.mapInArrow(keys, "part int, own binary, digest binary").select(F.xxhash64("part", "own").alias("key"), "part", "digest")
+    return rows.repartition("key").sortWithinPartitions("key", "part", "digest").mapInArrow(search, "a string, b string, score int")
+
+
+def with_copies(rows: DataFrame, bound: int = NEAR) -> DataFrame:
+    """The result of digests, and copies and near at the document with the least doc_id of each digest (elsewhere null).
+
+    copies: the doc_ids with this digest, where there are several. near: the greater digests
+    with a score of at most bound, and the score; their documents are in their own copies.
+    """
+    rows = spool(rows, "digests")
+    same = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.array_sort(F.collect_set("doc_id")).alias("ids"))
+    near = near_pairs(rows, bound).groupBy(F.col("a").alias("digest")).agg(F.array_sort(F.collect_list(F.struct(F.col("b").alias("digest"), "score"))).alias("near"))
+    lists = same.join(near, "digest", "left").select(F.col("digest").alias("d"), "rep", F.when(F.size("ids") > 1, F.col("ids")).alias("copies"), "near")
+    lists = lists.filter(F.col("copies").isNotNull() | F.col("near").isNotNull())
+    return rows.join(lists, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left").drop("d", "rep")
+
+
 def op6_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return with_copies(digests(table(spark, sf_dir, "documents")))

@@ -152,6 +152,25 @@ def test_digests_of_odd_and_no_documents(odd, empty):
     assert digests.digests(empty).count() == 0
 
 
+def test_copies_and_near_digests_are_found(spark, docs, tmp_path):
+    r = random.Random(9)
+    texts = []
+    for _ in range(12):
+        base = "".join(r.choices("abcdefghij ", k=r.randint(200, 3000)))
+        texts += [base, base] + [base[:k] + "x" + base[k + 1 :] for k in r.choices(range(200), k=12)]
+    docs([(i, t, "en", "s") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = digests.op6_digests(spark, str(tmp_path)).collect()
+    own = {x.doc_id: x.digest for x in rows}
+    assert len(rows) == len(own) == len(texts)
+    groups = {}
+    for i in sorted(own):
+        groups.setdefault(own[i], []).append(i)
+    assert {tuple(x.copies) for x in rows if x.copies} == {tuple(g) for g in groups.values() if len(g) > 1}
+    want = {(a, b, s) for a in groups for b in groups if a < b and (s := plain_difference(a, b)) <= digests.NEAR}
+    assert len(want) > 20
+    assert {(x.digest, n.digest, n.score) for x in rows for n in x.near or []} == want
+
+
 @pytest.fixture(scope="module")
 def codec():
     if not os.path.exists(pieces.MODEL):
