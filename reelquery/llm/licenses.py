@@ -124,7 +124,8 @@ def _wrapped(text: str, template: list[str], tokens: set[str], need: int, most:
             if paired or words[j] not in seen:
                 seen.add(words[j])
                 last = j
-        if len(seen) >= need and line[last] > line[i]:
+        # Half of the pairs in order: words of neighbouring sentences are no notice.
+        if len(seen) >= need and 2 * len(pairs) >= len(follow) and line[last] > line[i]:
             found.append((-len(seen), -len(pairs), last - i, i, last))
     taken: list[tuple[int, int]] = []
     out = []
@@ -142,7 +143,8 @@ def scan_wrapped(docs: DataFrame, templates: Mapping[str, str] | None = None, th
     """doc_id, block, template, overlap, containment of the notices that are wrapped over lines, block being the first line.
 
     A notice is a passage over several lines that holds at least threshold of a template's
-    distinct tokens in at most LOOSE times the template's words. Lines that match alone are
+    distinct tokens in at most LOOSE times the template's words, with half of its pairs of
+    words or more. Lines that match alone are
     left to scan_blocks. Only texts that hold enough of a template's tokens at all are searched.
     """
     given = TEMPLATES if templates is None else templates

@@ -85,7 +85,7 @@ def test_wrapped_notices_are_found(spark, docs, tmp_path, width, mark):
 
 
 def test_passages_are_not_put_together_from_afar(docs):
-    rows = [(1, "all\nrights\nreserved", "en", "a"), (2, "all\n" + "kozu\n" * 9 + "rights reserved", "en", "a"), (3, "all rights reserved\nall", "en", "a")]
+    rows = [(1, "all\nrights\nreserved", "en", "a"), (2, "all\n" + "kozu\n" * 9 + "rights reserved", "en", "a"), (3, "all rights reserved\nall", "en", "a"), (4, "Licensed under the Apache License, Version 2.0.\nMit", "en", "a")]
     assert [(r.doc_id, r.block, r.overlap) for r in licenses.scan_wrapped(docs(rows)).collect()] == [(1, 0, 3)]
     assert licenses.scan_wrapped(docs(rows), {}).count() == 0
 
