@@ -68,8 +68,8 @@ def normalize_for_cer(s: Column) -> Column:
 
 
 def url_decode(s: Column) -> Column:
-    """Percent escapes decoded, + kept; a text with a bad escape stays as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B"))), s)
+    """Percent escapes decoded, + and bad escapes kept; bytes that aren't UTF-8 become U+FFFD."""
+    return F.url_decode(F.regexp_replace(F.replace(s, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def contains_word(text: Column, word: Column) -> Column:
@@ -79,5 +79,5 @@ def contains_word(text: Column, word: Column) -> Column:
 
 
 def first_int(s: Column) -> Column:
-    """The first run of digits, with the minus sign before it; null if there is none or it's too large."""
-    return F.regexp_extract(s, "(-?[0-9]+)", 1).try_cast("int")
+    """The number at the first digit or minus sign; null if there is none, if no digit follows the sign, or if it's too large."""
+    return F.regexp_extract(s, "(-[0-9]*|[0-9]+)", 1).try_cast("int")

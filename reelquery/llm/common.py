@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
+#: Paths of the spooled tables of each application.
+_spooled: dict[str, set[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,20 +35,39 @@ def spool(df: DataFrame, name: str) -> DataFrame:
 
     It cuts the lineage (a lost executor costs nothing that is written), and the planner
     sees the real size of the table, so that it broadcasts only what is under
-    spark.sql.autoBroadcastJoinThreshold.
+    spark.sql.autoBroadcastJoinThreshold. The files stay until unspool or clear deletes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _spooled.setdefault(spark.sparkContext.applicationId, set()).add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spooled_at = path
+    return out
 
 
-def unspool(df: DataFrame) -> None:
-    """Delete the files of a spooled table that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unspool(*tables: DataFrame) -> None:
+    """Delete the files of spooled tables that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df.spooled_at)
+        _spooled[df.sparkSession.sparkContext.applicationId].discard(df.spooled_at)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all that this application has spooled, and say how many tables it was.
+
+    Results of the operators read spooled tables, so call it when they have been written or
+    collected.
+    """
+    paths = _spooled.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -73,12 +94,15 @@ def components(edges: DataFrame) -> DataFrame:
     number of rounds follows the logarithm of the components' diameter. Every round is written.
     """
     both = spool(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = spool(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    old = spool(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
+        labels = old.select("a", "label")
         around = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(around, "a").select("a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
         new = spool(nearer.join(jump, "label").select("a", "old", F.least("label", "further").alias("label")), "labels")
-        labels = new.select("a", "label")
+        unspool(old)
+        old = new
         if new.filter("label < old").isEmpty():
-            return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
+            unspool(both)
+            return new.select(F.col("a").alias("id"), F.col("label").alias("component"))

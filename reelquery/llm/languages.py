@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -13,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelquery.llm.common import spool, table
+from reelquery.llm.common import spool, table, unspool
 from reelquery.llm.pieces import chunks
 
-#: Labelled documents of each language that the model is fitted on: those with the smallest hashes.
-SAMPLE = 2_000
+#: Labelled documents of each language that the model is fitted on: those with the smallest hashes; and languages, the commonest.
+SAMPLE, LANGUAGES = 2_000, 256
 #: Hash buckets of character trigrams, and what is added to each count.
 BUCKETS = 1 << 16
 PRIOR = 0.5
@@ -68,11 +69,26 @@ class Model(NamedTuple):
     logp: np.ndarray
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """The trigram model of each value of lang, from at most sample of its documents; null langs and texts aren't labels."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
-    ids = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= sample)
-    ids = spool(ids.select("doc_id", "lang").distinct(), "sample")
+def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+    """The trigram model of each value of lang, from at most sample of its documents; null langs and texts aren't labels.
+
+    The sample and the number of languages bound the fit alone: where lang has more values than
+    languages (misspelt ones, say), the commonest are fitted, of equally common ones the first by
+    name. The documents with the smallest hashes are the sample; ties go by doc_id. Rows with
+    equal doc_id and lang are one document of it, whose texts all count. Only what has a hash under a
+    bound that lets a few more than sample through is ranked. An empty table gives a model without languages. Other columns aren't looked at.
+    """
+    spark = docs.sparkSession
+    labelled = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()  # at most languages rows
+    # Ten standard deviations more than the sample, so that it is all there.
+    bound = [(r["lang"], min(1.0, (sample + 10 * math.sqrt(sample) + 100) / r["count"])) for r in sizes]
+    below = F.broadcast(spark.createDataFrame(bound, "lang string, share double"))
+    hashed = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
+    labelled = labelled.join(below, "lang").filter(hashed <= F.col("share") * (1 << 30))
+    ids = labelled.select("doc_id", "lang").distinct()
+    rank = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    ids = spool(ids.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= sample).select("doc_id", "lang"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -84,13 +100,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             hit = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(n[hit])], ["lang", "bucket", "n"])
 
-    texts = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull()).join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    texts = labelled.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
     rows = texts.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(rows["lang"].unique())
-    counts = np.zeros((len(languages) + 1, BUCKETS))
-    counts[rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
+    unspool(ids)
+    names = sorted(rows["lang"].unique())
+    counts = np.zeros((len(names) + 1, BUCKETS))
+    counts[rows["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(np.int64), rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     logp = np.log((counts + PRIOR) / (counts.sum(1, keepdims=True) + PRIOR * BUCKETS))
-    return Model(languages, logp.astype(np.float32))
+    return Model(names, logp.astype(np.float32))
 
 
 def _sums(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -179,7 +196,10 @@ def infer(docs: DataFrame, model: Model) -> DataFrame:
 
     Whole texts count. Null texts and texts without letters have no languages, 0 words and
     aren't accepted. Repeated rows are inferred as often as they occur. A model without
-    languages accepts all texts with letters.
+    languages accepts all texts with letters. Languages with equal shares come by name; of
+    languages that raise the likelihood equally the first by name is added. A very long text
+    is worked on whole, and alone. An empty table gives no rows. Other columns of docs
+    aren't looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -203,7 +223,7 @@ def infer(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that infer accepts, with all their columns."""
+    """The rows of docs that infer accepts, with all their columns, whatever these are called; repeated rows stay or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -1,11 +1,11 @@
 """Near-duplicate embeddings by NN-descent.
 
 Lists of near neighbours start from random-hyperplane buckets and are refined by joins of
-neighbours with their neighbours until they hardly change. Vectors above the threshold are
-then closed over: a list that is full of near duplicates (saturated) is enlarged to all that
-is reachable over near duplicates, where every pair is compared exactly. Recall is audited
-against brute force; while it is too low, lists get longer and refinement goes on from other
-buckets. Equal vectors are searched as one.
+neighbours with their neighbours until they hardly change. A list that ends below the
+threshold holds all near duplicates of its vector; one that is full of them (saturated) is
+enlarged to all that is reachable over saturated lists, where every pair is compared.
+Similarities are exact. Recall is audited against brute force; while it is too low, lists get
+longer and refinement goes on from other buckets. Equal vectors are searched as one.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelquery.llm.common import components, spool, table
+from reelquery.llm.common import components, spool, table, unspool
 
 THRESHOLD = 0.95
 #: Length of a neighbour list, bucketings at the start, vectors of a bucket (about) and compared at once.
 K, TREES, LEAF, BLOCK = 10, 4, 64, 1_024
-#: Refinement ends when this share of all list entries is new, or after so many rounds.
-CHANGE, ROUNDS = 0.002, 8
+#: Refinement ends when no more than this share of all list entries is new; as lists only get better, it does.
+CHANGE = 0.002
 #: Vectors of the audit, the recall of near duplicates that it asks for, and how often lists may be doubled.
 AUDIT, RECALL, DOUBLINGS = 1_000, 0.95, 3
 #: Slack for the rounding of the 16-bit vectors that refinement sends around.
@@ -99,21 +99,16 @@ def _bucket(bits: int, seed: int):
     return run
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int, bar: np.ndarray | None = None, new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.fill_diagonal(sims, -2)
-    if new is not None:
-        sims[~(new[:, None] | new[None, :])] = -2
-    if bar is not None:
-        i, j = np.nonzero(sims > np.maximum(bar, -1)[:, None])
-    else:
-        k = min(k, len(ids) - 1)
-        j = np.argpartition(-sims, k - 1, axis=1)[:, :k].ravel() if k else np.empty(0, np.int64)
-        i = np.repeat(np.arange(len(ids)), k)
+    k = min(k, len(ids) - 1)
+    j = np.argpartition(-sims, k - 1, axis=1)[:, :k].ravel() if k else np.empty(0, np.int64)
+    i = np.repeat(np.arange(len(ids)), k)
     return ids[i], ids[j], sims[i, j]
 
 
 def _start(k: int, seed: int):
-    """The best neighbours of each vector in its bucket; of a large bucket, in blocks along a random direction."""
+    """The best neighbours of each vector in its bucket. A large bucket is split once more, into blocks along a random direction; refinement joins what the splits part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 2):
@@ -131,17 +126,23 @@ def _start(k: int, seed: int):
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the neighbours of a centre, each other one that is nearer than the last of their list."""
+    """For the neighbours of a centre, each other one that is nearer than the last of their list. Those of a centre that is in many lists are compared block by block."""
     out: list[tuple[np.ndarray, ...]] = []
     rows = 0
     for g in groups(batches, 1):
-        ids, new, bar = g.column(1).to_numpy(), g.column(2).to_numpy(zero_copy_only=False), g.column(3).to_numpy()
+        ids, new, bar = g.column(1).to_numpy(), g.column(2).to_numpy(zero_copy_only=False), np.maximum(g.column(3).to_numpy(), -1)
         x = _matrix(g.column(4), np.float16).astype(np.float32)
-        out.append(_best(ids, x @ x.T, 0, bar, new))
-        rows += len(out[-1][0])
-        if rows > 100_000:
-            yield _merged(out)
-            out, rows = [], 0
+        for a in range(0, len(ids), BLOCK):
+            for b in range(0, len(ids), BLOCK):
+                u, v = slice(a, a + BLOCK), slice(b, b + BLOCK)
+                sims = x[u] @ x[v].T
+                sims[~(new[u][:, None] | new[v][None, :]) | (ids[u][:, None] == ids[v][None, :])] = -2
+                i, j = np.nonzero(sims > bar[u][:, None])
+                out.append((ids[u][i], ids[v][j], sims[i, j]))
+                rows += len(i)
+                if rows > 100_000:
+                    yield _merged(out)
+                    out, rows = [], 0
     if rows:
         yield _merged(out)
 
@@ -160,7 +161,7 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("bar", F.when(F.count("*").over(w) >= k, F.min("sim").over(w)).otherwise(F.lit(-1.0)).cast("float")).drop("r")
 
 
-def neighbours(vectors: DataFrame, k: int, lists: DataFrame | None = None, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int, lists: DataFrame | None = None, seed: int = SEED) -> DataFrame:
     """id, nbr, sim, new, bar: the neighbour lists of NN-descent for the result of unit_vectors, from given lists or afresh."""
     n = vectors.count()
     bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
@@ -171,7 +172,7 @@ def neighbours(vectors: DataFrame, k: int, lists: DataFrame | None = None, round
         found = found.unionByName(lists.select("id", "nbr", "sim", "new"))
     graph = spool(_top(found, k), "lists")
     halves = spool(vectors.mapInArrow(_halves, "id bigint, dim int, small binary").drop("dim"), "halves")
-    for _ in range(rounds):
+    while True:
         bars = graph.groupBy("id").agg(F.first("bar").alias("bar"))
         sides = graph.select(F.col("id").alias("c"), F.col("nbr").alias("x"), "new").unionByName(graph.select(F.col("nbr").alias("c"), F.col("id").alias("x"), "new"))
         sides = sides.groupBy("c", "x").agg(F.max("new").alias("new"))
@@ -179,10 +180,11 @@ def neighbours(vectors: DataFrame, k: int, lists: DataFrame | None = None, round
         sides = sides.join(fresh, "c", "left_semi")
         rows = sides.join(halves, sides["x"] == halves["id"]).drop("id").join(bars, F.col("x") == F.col("id"), "left").select("c", "x", "new", F.coalesce("bar", F.lit(-1.0)).cast("float").alias("bar"), "small")
         found = rows.repartition("c").sortWithinPartitions("c").mapInArrow(_refine, "id bigint, nbr bigint, sim float").withColumn("new", F.lit(True))
-        graph = spool(_top(graph.withColumn("new", F.lit(False)).select("id", "nbr", "sim", "new").unionByName(found), k), "lists")
+        old, graph = graph, spool(_top(graph.withColumn("new", F.lit(False)).select("id", "nbr", "sim", "new").unionByName(found), k), "lists")
+        unspool(old)
         if graph.filter("new").count() <= CHANGE * k * n:
-            break
-    return graph
+            unspool(halves)
+            return graph
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,22 +221,56 @@ def _pairs(threshold: float):
     return run
 
 
-def closed_pairs(vectors: DataFrame, lists: DataFrame, threshold: float, same: DataFrame | None = None) -> DataFrame:
-    """All pairs at the threshold among vectors that are connected over near duplicates in the lists, or in same (id, rep).
+def _cosines(threshold: float):
+    """The pairs (a, b, vec_a, vec_b) at the threshold."""
 
-    This enlarges every saturated list to its whole neighbourhood at once. The members of a
-    component are dealt into blocks, and each pair of blocks is compared by one task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sims = np.array([np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())])
+            hit = np.flatnonzero(sims >= threshold) if len(sims) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), batch.column(1).take(pa.array(hit)), pa.array(np.minimum(sims[hit], 1.0) if len(hit) else [], pa.float64())], ["vec_id_a", "vec_id_b", "cosine"])
+
+    return run
+
+
+def enlarged(lists: DataFrame, threshold: float, same: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of the vectors whose lists are to be enlarged, and a < b, the other near edges.
+
+    A list is saturated if it is full and its last entry is near. An edge of two saturated
+    lists, or to a vector with copies (same: id, rep), joins a component, as the lists can't
+    hold all that is near there. Any other edge is in the list of an end that isn't saturated.
+    """
+    bar = threshold - ROUNDING
+    near = lists.filter(F.col("sim") >= bar).select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b")).distinct()
+    full = lists.filter(F.col("bar") >= bar).select("id", F.lit(1).alias("full"), F.lit(0).alias("copied"))
+    nodes = full.unionByName(same.select(F.col("rep").alias("id"), F.lit(0).alias("full"), F.lit(1).alias("copied")))
+    nodes = spool(nodes.groupBy("id").agg(F.max("full").alias("full"), F.max("copied").alias("copied")), "nodes")
+    for end in "ab":
+        near = near.join(nodes.toDF(f"id_{end}", f"full_{end}", f"copied_{end}"), F.col(end) == F.col(f"id_{end}"), "left")
+    one = lambda c: F.coalesce(c, F.lit(0)) == 1
+    near = spool(near.select("a", "b", ((one("full_a") & one("full_b")) | one("copied_a") | one("copied_b")).alias("dense")), "near")
+    parts = spool(components(near.filter("dense").select("a", "b").unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "components")
+    thin = near.filter("NOT dense").select("a", "b")
+    for end in "ab":
+        thin = thin.join(parts.toDF(f"id_{end}", f"in_{end}"), F.col(end) == F.col(f"id_{end}"), "left")
+    return parts, thin.filter("NOT coalesce(in_a = in_b, false)").select("a", "b")
+
+
+def closed_pairs(vectors: DataFrame, lists: DataFrame, threshold: float, same: DataFrame) -> DataFrame:
+    """All pairs at the threshold that the lists hold, once the saturated ones are enlarged.
+
+    The members of a component are dealt into blocks, and each pair of blocks is compared by one task.
     """
-    near = lists.filter(F.col("sim") >= threshold - ROUNDING).select(F.col("id").alias("a"), F.col("nbr").alias("b"))
-    if same is not None:
-        near = near.unionByName(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    parts = spool(components(near), "components")
+    parts, thin = enlarged(lists, threshold, same)
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = parts.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     rows = dealt.join(vectors, "id").select("component", "id", "dim", "vec", "block", F.explode(cells).alias("cell"))
     rows = rows.select("component", "cell.i", "cell.j", "id", "vec", "block").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return rows.mapInArrow(_pairs(threshold), "vec_id_a bigint, vec_id_b bigint, cosine double")
+    kind = "vec_id_a bigint, vec_id_b bigint, cosine double"
+    a, b = (vectors.select(F.col("id").alias(k), F.col("vec").alias(f"vec_{k}")) for k in "ab")
+    apart = thin.join(a, "a").join(b, "b").select("a", "b", "vec_a", "vec_b").mapInArrow(_cosines(threshold), kind)
+    return rows.mapInArrow(_pairs(threshold), kind).unionByName(apart)
 
 
 def audit(vectors: DataFrame, pairs: DataFrame, threshold: float, sample: int = AUDIT) -> float:
@@ -257,7 +293,9 @@ def audit(vectors: DataFrame, pairs: DataFrame, threshold: float, sample: int =
 
     true = spool(vectors.mapInArrow(brute, "vec_id_a bigint, vec_id_b bigint").distinct(), "audit")
     n = true.count()
-    return 1.0 if not n else true.join(pairs, ["vec_id_a", "vec_id_b"], "left_semi").count() / n
+    found = true.join(pairs, ["vec_id_a", "vec_id_b"], "left_semi").count()
+    unspool(true)
+    return found / n if n else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
@@ -267,8 +305,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
     test tables, with groups of a thousand near copies, over 0.99); where it stays under RECALL
     after all doublings, it raises. Vectors that are null or
     empty, have null, infinite or NaN components or length 0, and null vec_ids, are in no pair;
-    vectors of different lengths never pair. Rows with one vec_id are one vector. Equal
-    vectors are pairs of cosine 1.
+    vectors of different lengths never pair. Rows with one vec_id are one vector, the least. Equal
+    vectors are pairs of cosine 1. Of neighbours that are equally near, a list keeps the
+    least ids. An empty table gives no pairs. Other columns of vectors aren't looked at.
     """
     vectors = spool(unit_vectors(vectors.select("vec_id", "embedding")), "vectors")
     same = spool(alike(vectors).filter("id > rep"), "same")
@@ -280,6 +319,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
         recall = audit(vectors, pairs, threshold)
         if recall >= RECALL:
             return pairs
+        unspool(pairs)
         k *= 2
     raise RuntimeError(f"recall of near duplicates is {recall:.3f} after {DOUBLINGS} doublings; {RECALL} is asked for")
 

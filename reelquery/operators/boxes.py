@@ -127,9 +127,19 @@ def adjusted(boxes: DataFrame, stats: DataFrame, threshold: float = OUTLIER) ->
     return b.withColumn("is_outlier", ~blank & (F.col("adjusted_confidence") < threshold)).drop("mh", "my", "mx")
 
 
-def filtered_frames(adjusted_boxes: DataFrame) -> DataFrame:
-    """Frames of the boxes that aren't outliers; a frame without such boxes is gone. Time stays."""
-    return aggregate_boxes(frames_of(adjusted_boxes.filter(~F.col("is_outlier"))))
+def filtered_frames(adjusted_boxes: DataFrame, frames: DataFrame) -> DataFrame:
+    """Frames of the boxes that aren't outliers; a frame without such boxes is gone. Time stays.
+
+    frames has text, text_confidence, x_range and y_range of each frame: one without outliers
+    keeps them, and of one with some they are made from the boxes that are left.
+    """
+    fields = ("text", "text_confidence", "x_range", "y_range")
+    some = F.max("is_outlier").alias("touched")
+    touched = adjusted_boxes.groupBy("video_id", "timestamp").agg(some).filter(~F.col("touched"))
+    given = frames.select("video_id", "timestamp", F.struct(*fields).alias("given"))
+    whole = touched.join(given, ["video_id", "timestamp"]).select("video_id", "timestamp", "given")
+    left = aggregate_boxes(frames_of(adjusted_boxes.filter(~F.col("is_outlier")))).join(whole, ["video_id", "timestamp"], "left")
+    return left.select("video_id", "timestamp", *[F.when(F.col("given").isNotNull(), F.col(f"given.{c}")).otherwise(F.col(c)).alias(c) for c in fields], "boxes")
 
 
 def expand_times(frames: DataFrame) -> DataFrame:

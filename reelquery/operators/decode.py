@@ -71,9 +71,11 @@ def boxes_of(scores: np.ndarray, height: int, width: int, least: float = SCORE)
     wide[:, 1:] |= wide[:, :-1].copy()
     label = component_labels(wide.astype(int))
     out = []
-    for k in range(1, label.max() + 1):
-        ys, xs = np.nonzero(label == k)
-        if len(ys) < 3:
+    order = np.argsort(label.ravel(), kind="stable")
+    each = np.split(order, np.flatnonzero(np.diff(label.ravel()[order])) + 1)
+    for pixels in each:
+        ys, xs = np.divmod(pixels, label.shape[1])
+        if len(ys) < 3 or not label[ys[0], xs[0]]:
             continue
         box = corners(*tightest_rect(np.stack([xs, ys], axis=1).astype(float)))
         sides = [math.dist(box[0], box[1]), math.dist(box[1], box[2])]

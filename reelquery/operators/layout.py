@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,17 +74,19 @@ def quantized(v: Column, bits: int = 4) -> Column:
     return F.shiftleft(F.shiftright(v, 8 - bits), 8 - bits)
 
 
-def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> np.ndarray:
-    up = np.arange(n)
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    for a, b in pairs:
-        up[root(a)] = root(b)
-    return np.array([root(i) for i in range(n)])
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of n is linked with, over the links a to b."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        new, low = root.copy(), np.minimum(x, y)
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def regions_of(pixels: np.ndarray, bits: int = 4, near: int = 6, least: float = 0.0005) -> list[tuple[int, ...]]:
@@ -101,22 +101,20 @@ def regions_of(pixels: np.ndarray, bits: int = 4, near: int = 6, least: float =
     coarse = pixels >> (8 - bits) << (8 - bits)
     colors, index = np.unique(coarse.reshape(-1, 3), axis=0, return_inverse=True)
     gap = ((colors[:, None].astype(int) - colors[None].astype(int)) ** 2).sum(2)
-    label = _roots(len(colors), zip(*np.nonzero(np.triu(gap <= near * near, 1))))[index.ravel()].reshape(h, w)
+    label = _roots(len(colors), *np.nonzero(np.triu(gap <= near * near, 1)))[index.ravel()].reshape(h, w)
     at = np.arange(h * w).reshape(h, w)
     across, down = label[:, 1:] == label[:, :-1], label[1:] == label[:-1]
-    links = [*zip(at[:, 1:][across].tolist(), at[:, :-1][across].tolist()), *zip(at[1:][down].tolist(), at[:-1][down].tolist())]
-    root = _roots(h * w, iter(links))
-    _, first, part = np.unique(root, return_index=True, return_inverse=True)
-    part = part.ravel()
-    floor = int(max(h * w * least, 1.0))
-    out = []
-    for k in np.argsort(first):
-        ys, xs = np.divmod(np.flatnonzero(part == k), w)
-        bw, bh = int(xs.max() - xs.min() + 1), int(ys.max() - ys.min() + 1)
-        if bw * bh >= floor:
-            total = pixels[ys, xs].astype(int).sum(0) // (bw * bh)
-            out.append((int(xs.min()), int(ys.min()), bw, bh, *map(int, total), bw * bh))
-    return out
+    root = _roots(h * w, np.append(at[:, 1:][across], at[1:][down]), np.append(at[:, :-1][across], at[:-1][down]))
+    # A region's root is its first pixel, so in the order of roots regions are in raster order.
+    order = np.argsort(root, kind="stable")
+    first = np.flatnonzero(np.diff(root[order], prepend=-1))
+    ys, xs = np.divmod(order, w)
+    x0, y0 = np.minimum.reduceat(xs, first), np.minimum.reduceat(ys, first)
+    bw, bh = np.maximum.reduceat(xs, first) - x0 + 1, np.maximum.reduceat(ys, first) - y0 + 1
+    area = bw * bh
+    total = np.add.reduceat(pixels.reshape(-1, 3)[order].astype(np.int64), first, axis=0) // area[:, None]
+    keep = area >= int(max(h * w * least, 1.0))
+    return [tuple(map(int, row)) for row in np.column_stack([x0, y0, bw, bh, total, area])[keep]]
 
 
 def segment_by_color(images: DataFrame) -> DataFrame:
@@ -158,12 +156,29 @@ def center_of(x: Column, y: Column, w: Column, h: Column) -> Column:
 
 
 def window_offset(pixels: DataFrame, template: DataFrame, factor: int = 8) -> DataFrame:
-    """img_id, x, y: where the template (y, x, v) fits each image (img_id, y, x, v) with the least squared difference; ties: the first by y, then x. Times factor."""
-    size = template.agg((F.max("y") + 1).alias("th"), (F.max("x") + 1).alias("tw"))
-    shape = pixels.groupBy("img_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    t = template.select(F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("v").alias("tv"))
-    # The template is one image's pixels, joined to every pixel of the others.
-    at = pixels.crossJoin(t).select("img_id", (F.col("y") - F.col("ty")).alias("oy"), (F.col("x") - F.col("tx")).alias("ox"), ((F.col("v") - F.col("tv")) * (F.col("v") - F.col("tv"))).cast("bigint").alias("d"))
-    sums = at.groupBy("img_id", "oy", "ox").agg(F.sum("d").alias("ssd")).join(shape, "img_id").crossJoin(size)
-    fits = sums.filter("oy >= 0 and ox >= 0 and oy <= h - th and ox <= w - tw").groupBy("img_id").agg(F.min(F.struct("ssd", "oy", "ox")).alias("best"))
-    return shape.join(fits, "img_id", "left").select("img_id", F.coalesce(F.col("best.ox") * factor, F.lit(0)).alias("x"), F.coalesce(F.col("best.oy") * factor, F.lit(0)).alias("y"))
+    """img_id, x, y: where the template (y, x, v) fits each image (img_id, y, x, v) with the least squared difference; ties: the first by y, then x. Times factor.
+
+    The template is one small image, and goes to every worker. Values are whole numbers. Where it doesn't fit, 0 and 0.
+    """
+    t = _grid(template.select("y", "x", "v").toPandas())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        image, best = _grid(pdf), (0, 0)
+        if t.size and image.shape[0] >= t.shape[0] and image.shape[1] >= t.shape[1]:
+            ssd = np.zeros((image.shape[0] - t.shape[0] + 1, image.shape[1] - t.shape[1] + 1), np.int64)
+            for y in range(t.shape[0]):
+                for x in range(t.shape[1]):
+                    d = image[y : y + ssd.shape[0], x : x + ssd.shape[1]] - t[y, x]
+                    ssd += d * d
+            best = divmod(int(ssd.argmin()), ssd.shape[1])
+        return pd.DataFrame([(pdf["img_id"].iloc[0], best[1] * factor, best[0] * factor)], columns=["img_id", "x", "y"])
+
+    kind = pixels.schema["img_id"].dataType.simpleString()
+    return pixels.select("img_id", "y", "x", "v").groupBy("img_id").applyInPandas(run, f"img_id {kind}, x bigint, y bigint")
+
+
+def _grid(pixels: pd.DataFrame) -> np.ndarray:
+    """Rows and columns of pixels (y, x, v)."""
+    out = np.zeros((int(pixels["y"].max()) + 1, int(pixels["x"].max()) + 1) if len(pixels) else (0, 0), np.int64)
+    out[pixels["y"].to_numpy(), pixels["x"].to_numpy()] = pixels["v"]
+    return out

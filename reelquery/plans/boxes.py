@@ -65,10 +65,19 @@ def frame_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(ops.aggregate_boxes(frames_of(boxes(spark, sf_dir))))
 
 
-@query(f"WITH {ADJUSTED_SQL}, {_frames_sql('(SELECT * FROM adj WHERE blank OR ac >= 0.5)')}")
+# Frames without outliers keep what they were read with, here a made-up text, confidence and place.
+@query(f"""WITH {ADJUSTED_SQL}, flags AS (SELECT video_id, timestamp, bool_or(NOT blank AND ac < 0.5) AS touched FROM adj GROUP BY ALL),
+rebuilt AS (WITH {_frames_sql('(SELECT * FROM adj WHERE blank OR ac >= 0.5)')})
+SELECT video_id, timestamp, CASE WHEN touched THEN text ELSE 'frame ' || timestamp END AS text, CASE WHEN touched THEN text_confidence ELSE 0.25 END AS text_confidence,
+  CASE WHEN touched THEN x0 ELSE 0 END AS x0, CASE WHEN touched THEN x1 ELSE 1280 END AS x1, CASE WHEN touched THEN y0 ELSE 600 END AS y0, CASE WHEN touched THEN y1 ELSE 720 END AS y1, n
+FROM rebuilt JOIN flags USING (video_id, timestamp)""")
 def box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    return _frames(ops.filtered_frames(ops.adjusted(b, stats_of(b))))
+    place = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    k = F.col("l_orderkey")
+    read = table(spark, sf_dir, "lineitem").select((k % 20).alias("video_id"), (k * 500).alias("timestamp")).distinct()
+    read = read.select("*", F.concat(F.lit("frame "), F.col("timestamp").cast("string")).alias("text"), F.lit(0.25).alias("text_confidence"), place(0, 1280).alias("x_range"), place(600, 720).alias("y_range"))
+    return _frames(ops.filtered_frames(ops.adjusted(b, stats_of(b)), read))
 
 
 @query(f"WITH {BOXES_SQL} SELECT video_id, timestamp, box_idx, text, text_confidence FROM boxes WHERE trim(text) <> '' AND text_confidence >= 0.8 AND cy / 720 BETWEEN 0.85 AND 0.99")

@@ -65,12 +65,12 @@ def widget_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.find_by_label(regions(spark, sf_dir), "Ring").select("img_id", "id", "label")
 
 
-@query(f"""WITH {LAYOUT_SQL}, l AS (SELECT img_id, id, area_ratio, CASE id % 3 WHEN 0 THEN 'Load ' || (id * 7) || ' x' WHEN 1 THEN 'none' ELSE 'Count: -' || id END AS label FROM regions),
-w AS (SELECT *, CASE WHEN contains(lower(label), 'load') OR contains(lower(label), 'count') THEN try_cast(regexp_extract(label, '(-?[0-9]+)', 1) AS INT) END AS part FROM l)
+@query(f"""WITH {LAYOUT_SQL}, l AS (SELECT img_id, id, area_ratio, CASE WHEN id % 7 = 3 THEN 'Re-load ' || id WHEN id % 3 = 0 THEN 'Load ' || (id * 7) || ' x' WHEN id % 3 = 1 THEN 'none' ELSE 'Count: -' || id END AS label FROM regions),
+w AS (SELECT *, CASE WHEN contains(lower(label), 'load') OR contains(lower(label), 'count') THEN try_cast(regexp_extract(label, '(-[0-9]*|[0-9]+)', 1) AS INT) END AS part FROM l)
 SELECT img_id, arg_max(part, area_ratio * 1000000 - id / 1000000) FILTER (WHERE part IS NOT NULL) AS value FROM w GROUP BY img_id""")
 def widget_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
-    label = F.when(i % 3 == 0, F.concat(F.lit("Load "), (i * 7).cast("string"), F.lit(" x"))).when(i % 3 == 1, "none").otherwise(F.concat(F.lit("Count: -"), i.cast("string")))
+    label = F.when(i % 7 == 3, F.concat(F.lit("Re-load "), i.cast("string"))).when(i % 3 == 0, F.concat(F.lit("Load "), (i * 7).cast("string"), F.lit(" x"))).when(i % 3 == 1, "none").otherwise(F.concat(F.lit("Count: -"), i.cast("string")))
     return layout.read_count(regions(spark, sf_dir).withColumn("label", label))
 
 

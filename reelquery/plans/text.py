@@ -46,11 +46,11 @@ def text_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("conv_id", "turn", fn.is_substring_of(F.col("a"), F.col("text")).alias("head"), fn.is_substring_of(F.col("a"), F.col("b")).alias("next"))
 
 
-@query("SELECT page_id, url_decode(replace(url, '/', '%2F') || '+a%20b') AS plain, url || '%zz' AS broken FROM pages")
+@query("""SELECT page_id, url_decode(replace(url, '/', '%2F') || '+a%20b') AS plain, url || '%zz' AS broken, url || ' b%zz%4 c%' AS mixed, url || ' 图' AS wide FROM pages""")
 def text_url_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     escaped = F.concat(F.replace("url", F.lit("/"), F.lit("%2F")), F.lit("+a%20b"))
-    return p.select("page_id", fn.url_decode(escaped).alias("plain"), fn.url_decode(F.concat("url", F.lit("%zz"))).alias("broken"))
+    return p.select("page_id", fn.url_decode(escaped).alias("plain"), fn.url_decode(F.concat("url", F.lit("%zz"))).alias("broken"), fn.url_decode(F.concat("url", F.lit("%20b%zz%4%20c%"))).alias("mixed"), fn.url_decode(F.concat("url", F.lit("%20%E5%9b%BE"))).alias("wide"))
 
 
 @query("""WITH n AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey::VARCHAR WHEN 1 THEN o_orderkey || '_' || (o_orderkey + 40) WHEN 2 THEN o_orderkey || '_' WHEN 3 THEN 'a' || o_orderkey ELSE o_orderkey || '_1_2' END AS s FROM orders)

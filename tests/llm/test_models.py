@@ -35,6 +35,20 @@ def test_mixtures(model, docs):
     assert not out[4].accepted and out[4].n_words == 0
 
 
+def test_fit_takes_the_smallest_hashes(spark, docs):
+    """Against ranking all documents; of more languages than asked for, the commonest."""
+    rows = [(i % 700, f"{'ab'[i % 2]}{i % 700} word", f"l{i % 3}" if i % 50 else f"rare{i}", "s") for i in range(900)]
+    d = docs(rows)
+    ranked = d.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)).alias("h")).distinct().collect()
+    got = languages.fit(d, 5, 3)
+    assert got.languages == ["l0", "l1", "l2"]
+    for row, lang in enumerate(got.languages):
+        ids = {r.doc_id for r in sorted((r for r in ranked if r.lang == lang), key=lambda r: (r.h, r.doc_id))[:5]}
+        counts = np.bincount(languages.grams([t for i, t, x, _ in rows if x == lang and i in ids])[0], minlength=languages.BUCKETS)
+        want = np.log((counts + languages.PRIOR) / (counts.sum() + languages.PRIOR * languages.BUCKETS))
+        assert np.allclose(got.logp[row], want, atol=1e-5)
+
+
 def test_em_reaches_the_maximum():
     r = np.random.default_rng(3)
     words = np.array([30, 50, 5])
@@ -231,6 +245,7 @@ def test_ngram_join_is_exact(docs, monkeypatch, seed, block, cells):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "CELLS", cells)
     monkeypatch.setattr(ngram_join, "POSTINGS", 3000)
+    monkeypatch.setattr(ngram_join, "SLICE", 700)
     r = random.Random(seed)
     vocab = [f"w{i}" for i in range(200)]
     passage = r.choices(vocab, k=40)

@@ -1,11 +1,14 @@
 import datetime
 import json
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reelquery.operators import decode, merge
-from reelquery.sources import files
+from reelquery.sources import files, pictures
 from reelquery.streaming import timeline
 
 
@@ -17,8 +20,9 @@ def test_name_times(spark, name, want):
 def test_list_frames(spark, tmp_path):
     for n in ("2000.png", "500_900.JPG", "bad.png", "1.txt"):
         (tmp_path / n).write_bytes(b"x")
-    got = files.list_frames(spark, str(tmp_path)).collect()
-    assert [r.times for r in got] == [[500, 900], [2000]]
+    with pytest.warns(UserWarning, match="^1 files"):
+        got = files.list_frames(spark, str(tmp_path)).collect()
+    assert sorted(r.times for r in got) == [[500, 900], [2000]]
     with pytest.raises(Exception, match="no times"):
         files.list_frames(spark, str(tmp_path), "error").collect()
     assert files.list_frames(spark, str(tmp_path / "none")).count() == 0
@@ -35,7 +39,12 @@ def test_json(spark, tmp_path):
     assert (f.timestamp, f.y_range, f.boxes) == (0, [0, 0], [])
     (tmp_path / "gt.json").write_text(json.dumps({"result": {"text": "", "segments": [{"text": " a ", "start": 1, "end": 2}, {"text": "b", "start": 1}]}}))
     (t,) = files.read_timeline(spark, str(tmp_path / "gt.json")).collect()
-    assert tuple(t) == (0, "a", 1, 2)
+    assert tuple(t)[1:] == (0, "a", 1, 2)
+    (tmp_path / "two").mkdir()
+    for i in range(2):
+        (tmp_path / "two" / f"{i}.json").write_text(json.dumps({"segments": [seg, seg | {"text": f"{i}"}]}))
+    both = files.read_segments(spark, str(tmp_path / "two")).collect()
+    assert sorted((r.file[-6:], r.seg_idx, r.text) for r in both) == [("0.json", 0, " a "), ("0.json", 1, "0"), ("1.json", 0, " a "), ("1.json", 1, "1")]
 
 
 def test_write(spark, tmp_path):
@@ -47,6 +56,53 @@ def test_write(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["1,2", "2,3"]
 
 
+def filtered_png(pixels, kind):
+    """A PNG whose rows all have one kind of filter, made from its definition."""
+    h, w = pixels.shape[:2]
+    rows = pixels[:, :, ::-1].reshape(h, -1).astype(int)
+    out = b""
+    for y in range(h):
+        line = []
+        for i in range(w * 3):
+            a, b, c = (rows[y, i - 3] if i > 2 else 0), (rows[y - 1, i] if y else 0), (rows[y - 1, i - 3] if y and i > 2 else 0)
+            paeth = min((a, b, c), key=lambda v: (abs(a + b - c - v), (a, b, c).index(v)))  # noqa: B023
+            line.append((rows[y, i] - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+        out += bytes([kind, *line])
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return pictures.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+def test_pictures():
+    r = np.random.default_rng(1)
+    for h, w in ((1, 1), (5, 7), (8, 3)):
+        x = r.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        assert (pictures.decoded(pictures.encoded(x)) == x).all()
+        assert (pictures.decoded(pictures.encoded(x[:, :, 0])) == x[:, :, :1]).all()
+        for kind in range(5):
+            assert (pictures.decoded(filtered_png(x, kind)) == x).all()
+        pad = -w * 3 % 4
+        body = b"".join(row.tobytes() + b"\0" * pad for row in x[::-1])
+        assert (pictures.decoded(b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, 0, 0, 0, 0, 0) + body) == x).all()
+    for bad in (b"", b"x", pictures.PNG, pictures.PNG + b"\0" * 30, b"BM"):
+        with pytest.raises(ValueError):
+            pictures.decoded(bad)
+
+
+def test_keyframes_are_written_and_read(spark, tmp_path):
+    r = np.random.default_rng(2)
+    x, m = r.integers(0, 256, (2, 4, 6, 3)).astype(np.uint8), r.integers(0, 2, (2, 4, 6)).astype(np.uint8)
+    df = spark.createDataFrame([(500 * i, 500 * i + 400, 4, 6, bytearray(x[i].tobytes()), bytearray(np.packbits(m[i]).tobytes())) for i in range(2)], "start_ms bigint, end_ms bigint, height int, width int, bgr binary, mask binary")
+    assert files.write_keyframes(df, str(tmp_path / "k")).count() == 4
+    for folder, want in (("frames", x), ("mask", np.repeat(m[..., None], 3, -1) * 255)):
+        got = sorted(files.load_keyframes(spark, str(tmp_path / "k" / folder)).collect())
+        assert [(g.start_ms, g.end_ms, bytes(g.bgr)) for g in got] == [(500 * i, 500 * i + 400, want[i].tobytes()) for i in range(2)]
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "k" / "keyframes.json")).select("start_ms", "end_ms", "image").collect()) == [(0, 400, "0_400.png"), (500, 900, "500_900.png")]
+    assert files.write_keyframes(df, str(tmp_path / "t"), "timeline").count() == 0
+    assert [r.value for r in spark.read.text(str(tmp_path / "t" / "timeline.txt")).collect()] == ["0,400", "500,900"] and not (tmp_path / "t" / "frames").exists()
+    (tmp_path / "k" / "frames" / "1_2.png").write_bytes(b"no picture")
+    assert files.load_keyframes(spark, str(tmp_path / "k" / "frames")).filter("bgr is null").count() == 1
+
+
 def test_vocabulary(spark, tmp_path):
     for body in ('["a", "b"]', "a\nb\n"):
         (tmp_path / "v").write_text(body)

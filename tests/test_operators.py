@@ -44,7 +44,10 @@ def test_texts(spark):
     assert one(spark, text.normalize_for_cer(F.lit("师父，三 百 5 个（人）-好"))) == "师傅#个人好"
     assert one(spark, text.url_decode(F.lit("a+b%20c"))) == "a+b c"
     assert one(spark, text.url_decode(F.lit("100%zz"))) == "100%zz"
-    assert one(spark, text.first_int(F.lit("Load -12 of 3"))) == -12
+    assert one(spark, text.url_decode(F.lit("a%20b%zz%4"))) == "a b%zz%4"
+    assert one(spark, text.url_decode(F.lit("%E5%9B%BE%ff%"))) == "图\ufffd%"
+    for s, want in (("Load -12 of 3", -12), ("Re-load 5", None), ("Load - 5", None), ("a5-3", 5), ("--7", None), ("", None), ("99999999999", None)):
+        assert one(spark, text.first_int(F.lit(s))) == want
     assert one(spark, text.character_error_rate(F.lit(""), F.lit(""))) == 0
 
 
@@ -62,9 +65,9 @@ def test_stats(spark):
 
 
 def test_mode_is_the_first_to_reach_the_most(spark):
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, 2.0, 2.4, 1.2, 0.6])], "k int, i int, v double")
-    assert stats.first_mode(df, ["k"], [F.col("v")], [F.col("i")], ["m"]).first()["m"] == 0.6
-    assert stats.first_mode(df.filter("i < 4"), ["k"], [F.col("v")], [F.col("i")], ["m"]).first()["m"] == 2.4
+    seen = [box(x=(v - 1, v + 1)) for v in (1.0, 2.0, 2.4, 1.2, 0.6)]
+    assert stats.box_stats(flat_boxes(spark, *seen)).first().mode_x == pytest.approx(0.6)
+    assert stats.box_stats(flat_boxes(spark, *seen[:4])).first().mode_x == pytest.approx(2.4)
 
 
 def scored(spark, b, mode=(100.0, 120.0), height=20.0, x=50.0):
