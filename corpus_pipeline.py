@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelquery.llm.common import components, fresh, spool, table
+from reelquery.llm.common import fresh, spool, table
 from reelquery.llm.languages import fit, keep_accepted
 from reelquery.llm.line_dedup import remove_boilerplate
 from reelquery.llm.mixing import mix
@@ -34,13 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null doc_ids, null texts and texts without words are similar to nothing and stay; of rows
     with one doc_id all stay or go.
     """
-    classes, pairs = similar_classes(docs)
-    reps = classes.select("sig", "rep")
-    near = pairs.join(reps.toDF("a", "rep_a"), "a").join(reps.toDF("b", "rep_b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    groups = components(near)
-    members = classes.join(groups, classes["rep"] == groups["id"], "left").select(F.coalesce("component", "rep").alias("stays"), F.explode("ids").alias("gone"))
     gone = fresh(docs, "gone")
-    dropped = spool(members.filter("gone <> stays").select(F.col("gone").alias(gone)).distinct(), "dropped")
+    dropped = spool(similar_classes(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias(gone)), "dropped")
     return docs.join(dropped.hint("shuffle_hash"), docs["doc_id"] == dropped[gone], "left_anti")
 
 

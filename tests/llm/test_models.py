@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -225,18 +226,23 @@ def brute(rows, t):
     return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
 
 
-def pairs_of(df):
-    """All pairs that the rows stand for."""
-    rows = [(r.doc_id_a, r.doc_id_b, r.jaccard) for r in df.collect()]
-    assert all(a < b for a, b, _ in rows) and len({x[:2] for x in rows}) == len(rows)
-    copies = {}
-    for a, b, j in rows:
-        if j == 1:
-            copies.setdefault(a, [a]).append(b)
-    out = {(x, y) for g in copies.values() for x in g for y in g if x < y}
-    for a, b, j in rows:
-        if j < 1:
-            out |= {(min(x, y), max(x, y)) for x in copies.get(a, [a]) for y in copies.get(b, [b])}
+def classes(ids, pairs):
+    """{id: (least id that is connected with it, its links)}"""
+    least, links = {i: i for i in ids}, Counter(x for p in pairs for x in p)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    return {i: (least[i], links[i]) for i in least}
+
+
+def classes_of(df):
+    rows = df.collect()
+    out = {r[0]: (r.class_id, r.links) for r in rows}
+    assert len(out) == len(rows)
     return out
 
 
@@ -260,17 +266,32 @@ def test_ngram_join_is_exact(docs, monkeypatch, seed, block, cells):
     want = brute(rows, 0.5)
     assert len(want) > 500
     got = ngram_join.similar_documents(docs([(i, t, "en", "s") for i, t in rows]))
-    assert pairs_of(got) == want
-    for x in got.collect():
-        a, b = grams(rows[x.doc_id_a][1]), grams(rows[x.doc_id_b][1])
-        assert x.jaccard == pytest.approx(len(a & b) / len(a | b))
+    assert classes_of(got) == classes(range(len(rows)), want)
 
 
 def test_ngram_join_of_odd_and_no_documents(odd, empty, docs):
-    assert pairs_of(ngram_join.similar_documents(odd)) == {(7, 8)}
+    assert classes_of(ngram_join.similar_documents(odd)) == classes(range(1, 9), {(7, 8)})
     assert ngram_join.similar_documents(empty).count() == 0
     two = docs([(1, "a b c d e f", "en", "s"), (1, "z y x w v u", "en", "s"), (2, "a b c d e f g", "en", "s")])
-    assert pairs_of(ngram_join.similar_documents(two)) == {(1, 2)}
+    assert classes_of(ngram_join.similar_documents(two)) == {1: (1, 1), 2: (1, 1)}
+
+
+def test_ngram_join_loses_no_link(docs):
+    # Texts with one set of n-grams differ and are linked. 5 has two similar texts, by which 7 and 9 are linked, and 3 and 4 are connected by it.
+    a, b = "a b c d e f g h", "a b c d e f g x"
+    rows = [(5, a), (7, a), (5, b), (9, b), (3, "A b, c d e f g h"), (20, "k l m"), (21, "k L m"), (22, "K l m"), (20, "n o p q"), (12, "n o p q")]
+    got = classes_of(ngram_join.similar_documents(docs([(i, t, "en", "s") for i, t in rows])))
+    assert got == {3: (3, 4), 5: (3, 8), 7: (3, 4), 9: (3, 4), 12: (12, 1), 20: (12, 3), 21: (12, 2), 22: (12, 2)}
+
+
+def test_rows_of_a_family_are_its_documents(docs):
+    # 300 near copies are 44,850 links.
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(r.choice(base) if r.random() < 0.02 else x for x in base), "en", "s") for i in range(300)]
+    got = classes_of(ngram_join.similar_documents(docs(rows)))
+    want = brute([x[:2] for x in rows], 0.5)
+    assert len(want) > 40_000 and got == classes(range(300), want)
 
 
 def vectors(spark, x, first=0):
