@@ -2,12 +2,13 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline as pipeline
-from reelquery.llm import languages, line_dedup, mixing, pieces
+from reelquery.llm import common, languages, line_dedup, mixing, ngram_join, pieces
 
 
 def words(text):
@@ -104,3 +105,25 @@ def test_stages_keep_columns_and_take_odd_and_no_documents(spark, odd, empty):
                 assert out.count() == docs.count()
     near = pipeline.near_duplicates(spark, odd, "")
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect()) == [(False, i) for i in (1, 2, 3, 4, 5, 6, 7, 7)] + [(True, 0)]
+
+
+def test_a_family_of_near_copies_has_few_edges(spark, docs, monkeypatch):
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(r.choice(base) if r.random() < 0.02 else x for x in base), "en", "s") for i in range(200)]
+    # 500 has two texts, by which 400 and 450 are connected.
+    rows += [(500, "a b c d e f", "en", "s"), (400, "a b c d e f", "en", "s"), (500, "u v w x y z", "en", "s"), (450, "u v w x y z", "en", "s")]
+    written = Counter()
+    real = common.spool
+
+    def counting(df, name):
+        out = real(df, name)
+        written[name] = max(written[name], out.count())
+        return out
+
+    for module in (common, ngram_join):
+        monkeypatch.setattr(module, "spool", counting)
+    left = pipeline.near_duplicates(spark, docs(rows), "").collect()
+    assert {r.doc_id for r in left} == {0, 400}
+    # All pairs would be 39,800 rows.
+    assert 0 < written["edges"] <= 4 * len(rows)
