@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
-All distinct units of a batch of texts advance together, one character a step, in numpy.
+All distinct units of a batch of texts advance together, one character a step, in numpy. The ids
+of those that came lately are kept, as most words of a batch were in batches before it.
 A unit is what no piece can cross: a run of marks (U+2581, a space) with the characters up to
 the next mark, or one character that no piece has.
 
@@ -28,6 +29,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Characters that are advanced together.
 CHUNK = 750_000
+#: Units whose ids are kept, twice so many at most, and the characters of the longest of them.
+KEPT, LONGEST = 200_000, 64
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,8 +112,45 @@ class Hash:
         return out
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range of n, one range after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+class Units:
+    """The ids of units, by the units' hashes. The characters are kept too, and compared."""
+
+    def __init__(self, code: np.dtype | type):
+        self.keys = np.empty(0, np.uint64)  # ascending
+        self.code_at, self.size, self.ids_at, self.count = (np.empty(0, np.int64) for _ in range(4))
+        self.code, self.ids = np.empty(0, code), np.empty(0, np.int32)
+
+    def find(self, keys: np.ndarray, code: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(those of the units that are here, their rows)."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        who = np.flatnonzero((self.keys[at] == keys) & (self.size[at] == size))
+        at, n = at[who], size[who]
+        if not len(who):
+            return who, at
+        same = np.logical_and.reduceat(self.code[_ranges(self.code_at[at], n)] == code[_ranges(start[who], n)], np.cumsum(n) - n)
+        return who[same], at[same]
+
+    def add(self, keys: np.ndarray, code: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, ids_at: np.ndarray, count: np.ndarray) -> None:
+        """keys: ascending. Of units with one hash the first stays."""
+        if len(self.keys):
+            new = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys)
+            keys, start, size, ids_at, count = keys[new], start[new], size[new], ids_at[new], count[new]
+        at = np.searchsorted(self.keys, keys)
+        for name, x in (("code_at", len(self.code) + np.cumsum(size) - size), ("size", size), ("ids_at", len(self.ids) + np.cumsum(count) - count), ("count", count), ("keys", keys)):
+            setattr(self, name, np.insert(getattr(self, name), at, x))
+        self.code = np.append(self.code, code[_ranges(start, size)].astype(self.code.dtype))
+        self.ids = np.append(self.ids, ids[_ranges(ids_at, count)])
+
+
 class Codec:
-    """Encoder and decoder of one model. It pickles; what it learns of pairs of pieces stays in the process."""
+    """Encoder and decoder of one model. It pickles; what it learns of pairs of pieces and of units stays in the process."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool):
         self.bpe, self.size = bpe, len(pieces)
@@ -169,7 +209,7 @@ class Codec:
             self.root[c] = n
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_pairs", "_merges")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_pairs", "_merges", "_seen")}
 
     def merged(self, text: str) -> list[int]:
         """BPE as it is defined: the adjacent pair with the best score is merged, the leftmost of equals, until none is a piece."""
@@ -203,10 +243,10 @@ class Codec:
             x, y = new // self.size, new % self.size
             fresh = np.fromiter((self.merged(self.texts[i] + self.texts[j]) == [i, j] for i, j in zip(x.tolist(), y.tolist())), np.int32, len(new))
             got[got < 0] = fresh[where]
-            if len(tables) > 12 or sum(t.count for t in tables) > 4_000_000:  # forgetting costs time, never a result
+            if sum(t.count for t in tables) > 4_000_000:  # forgetting costs time, never a result
                 tables.clear()
-            # Tables of at least doubling sizes, so that each pair is moved a few times only.
-            while tables and tables[-1].count < 2 * len(new):
+            # Each table has at least four times as many pairs as the next, so that they are few and a pair is moved a few times only.
+            while tables and tables[-1].count < 4 * len(new):
                 old = tables.pop()
                 held = old.keys >= 0
                 new, fresh = np.append(new, old.keys[held]), np.append(fresh, old.values[held])
@@ -293,21 +333,36 @@ class Codec:
         back = np.cumprod(np.full(len(code), np.uint64(pow(int(_MIX), -1, 1 << 64))))
         total = np.cumsum((points.astype(np.uint64) + np.uint64(1)) * power)
         key = (total[start + size - 1] - np.where(start > 0, total[start - 1], np.uint64(0))) * back[start]
-        _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
+        key, one, inverse = np.unique(key, return_index=True, return_inverse=True)
         same = one[inverse]
         shift = np.repeat(start[same] - start, size)
-        if not (size[same] == size).all() or not (code[np.arange(len(code)) + shift] == code).all():
+        clash = not (size[same] == size).all() or not (code[np.arange(len(code)) + shift] == code).all()
+        if clash:
             one, inverse = np.arange(len(start)), np.arange(len(start))
         count = np.zeros(len(one), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # units and their ids
-        rank = one[~strange[one]]
         slot = np.flatnonzero(~strange[one])
+        young, old = self.__dict__.setdefault("_seen", [Units(np.uint16 if self.width < 1 << 16 else np.int32) for _ in range(2)])
+        fresh = np.empty(0, np.int64)
+        if not clash:
+            fresh = slot[size[one[slot]] <= LONGEST]
+            for known in (young, old):
+                rest = slot if known is young else slot[count[slot] == 0]
+                who, at = known.find(key[rest], code, start[one[rest]], size[one[rest]])
+                n = count[rest[who]] = known.count[at]
+                parts.append((rest[who], known.ids[_ranges(known.ids_at[at], n)]))
+                if known is young:
+                    fresh = fresh[count[fresh] == 0]
+            slot = slot[count[slot] == 0]
+        rank = one[slot]
         order = np.argsort(-size[rank], kind="stable")
         rank, slot = rank[order], slot[order]
         at = 0
-        while at < len(rank):  # tables of at most 8 million cells
+        while at < len(rank):  # tables of at most 8 million cells; in large ones all units are longer than half of the longest
             width = int(size[rank[at]]) + 1
-            to = at + int(np.searchsorted(-size[rank[at:]], -max(1, width // 2), side="right"))
+            to = len(rank)
+            if (to - at) * width > 1_000_000:
+                to = at + int(np.searchsorted(-size[rank[at:]], -max(1, width // 2), side="right"))
             to = max(at + 1, min(to, at + 8_000_000 // width))
             ids, n = self._units(code, start[rank[at:to]], size[rank[at:to]])
             count[slot[at:to]] = n
@@ -325,6 +380,9 @@ class Codec:
         for who, ids in parts:
             pool_at[who] = made + np.cumsum(count[who]) - count[who]
             made += len(ids)
+        young.add(key[fresh], code, start[one[fresh]], size[one[fresh]], pool, pool_at[fresh], count[fresh])
+        if len(young.keys) > KEPT:
+            self._seen = [Units(young.code.dtype), young]
         n = count[inverse]
         out = pool[np.repeat(pool_at[inverse] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         per_text = np.add.reduceat(np.append(n, 0), np.searchsorted(start, text_at)) if len(n) else np.zeros(len(texts), np.int64)

@@ -183,6 +183,35 @@ def test_pieces_are_the_library_s(codec):
     assert codec.decode(ids, n) == [t.replace(pieces.MARK, " ") for t in texts]
 
 
+def test_words_of_earlier_batches_are_not_segmented_again(codec, monkeypatch):
+    r = random.Random(9)
+    batches = [[" ".join("".join(r.choices("abehnt" + "é" * (k > 2), k=r.randint(1, 4))) for _ in range(300)) + " 日 " + "x" * 100 for _ in range(3)] for k in range(6)]
+    want = [pieces.codec().encode(b) for b in batches]
+    monkeypatch.setattr(pieces, "KEPT", 400)
+    done = Counter()
+    segment = pieces.Codec._units
+
+    def units(self, code, start, size):
+        done.update(code[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist()))
+        return segment(self, code, start, size)
+
+    monkeypatch.setattr(pieces.Codec, "_units", units)
+    c = pieces.codec()
+    for b, (ids, n) in zip(batches, want):
+        for _ in range(2):
+            before = done.total()
+            got = c.encode(b)
+            assert (got[0] == ids).all() and (got[1] == n).all()
+        assert done.total() - before == 1  # the long one isn't kept
+    assert all(len(u.keys) < 2000 for u in c._seen)
+    # Units with one hash aren't taken for each other.
+    known, code = pieces.Units(np.uint16), np.array([5, 6, 7, 5, 6, 8], np.int32)
+    one, size = np.array([9], np.uint64), np.array([3])
+    known.add(one, code, np.array([0]), size, np.array([1, 2], np.int32), np.array([0]), np.array([2]))
+    assert [len(x) for x in known.find(one, code, np.array([0]), size)] == [1, 1]
+    assert [len(x) for x in known.find(one, code, np.array([3]), size)] == [0, 0]
+
+
 def test_viterbi_of_a_unigram_model():
     """Against all segmentations."""
     r = random.Random(8)
