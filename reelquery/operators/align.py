@@ -112,7 +112,8 @@ def text_error(ref: DataFrame, hyp: DataFrame) -> DataFrame:
         return df.groupBy("video_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "").alias(name))
 
     both = whole(ref, "r").join(whole(hyp, "h"), "video_id", "full").fillna("", ["r", "h"])
-    # One row a video, each worth seconds of work: spread.
-    both = both.withColumns({f"n{c}": normalize_for_cer(F.col(c)) for c in "rh"}).repartition("video_id")
+    # One row a video, each worth seconds of work: spread, over a given number, as few bytes would be put into few tasks again.
+    spread = int(ref.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.withColumns({f"n{c}": normalize_for_cer(F.col(c)) for c in "rh"}).repartition(spread, "video_id")
     rate = lambda r, h: (edit_distance_long(F.col(r), F.col(h)) / F.greatest(F.length(r), F.lit(1))).cast("double")
     return both.select("video_id", rate("r", "h").alias("raw"), rate("nr", "nh").alias("norm"), F.length("h").alias("hyp_chars"), F.length("r").alias("ref_chars"))
