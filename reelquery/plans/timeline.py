@@ -23,8 +23,8 @@ segs AS (SELECT video_id, seg_idx::BIGINT AS seg_idx, min_by(text, timestamp) AS
          min_by(y0, timestamp) AS y0, min_by(y1, timestamp) AS y1, avg(text_confidence) AS text_confidence, count(*)::INT AS frame_count FROM runs GROUP BY ALL)"""
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    return df.select("video_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "text", "start_ms", "end_ms", F.col("y_range")[0].alias("y0"), F.col("y_range")[1].alias("y1"), F.round("text_confidence", 9).alias("text_confidence"), "frame_count")
+def _flat(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("video_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "text", "start_ms", "end_ms", F.col("y_range")[0].alias("y0"), F.col("y_range")[1].alias("y1"), F.round("text_confidence", 9).alias("text_confidence"), "frame_count", *[F.round(c, 9).alias(c) for c in more])
 
 
 SEGS = "video_id, seg_idx, text, start_ms, end_ms, y0, y1, round(text_confidence, 9) AS text_confidence, frame_count"
@@ -112,8 +112,7 @@ def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ADJUSTED_SQL} SELECT {SEGS}, round(yp, 9) AS y_penalty, round(ip, 9) AS iso_penalty, round(ac, 9) AS adjusted_confidence FROM adj")
 def segment_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _adjusted(spark, sf_dir)
-    return _flat(a).join(a.select("video_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), *[F.round(c, 9).alias(c) for c in ("y_penalty", "iso_penalty", "adjusted_confidence")]), ["video_id", "seg_idx"])
+    return _flat(_adjusted(spark, sf_dir), "y_penalty", "iso_penalty", "adjusted_confidence")
 
 
 @query(f"WITH {ADJUSTED_SQL} SELECT video_id, seg_idx, text, round(ac, 9) AS adjusted_confidence FROM adj WHERE ac >= 0.3")

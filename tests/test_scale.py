@@ -75,3 +75,18 @@ def test_noise_pass_holds_one_video_at_a_time(spark):
     sizes = merge.remove_triplet_noise(merge.fold_runs(frames)).mapInArrow(lambda bs: bs, "video_id bigint, segments array<%s>" % merge.SEGMENT)
     assert sizes.count() == 1000
     assert "MapInArrow" in _joined_by(merge.remove_triplet_noise(merge.fold_runs(frames))) and "MapInPandas" not in _joined_by(sizes)
+
+
+def test_segments_are_scored_without_a_join_to_themselves(spark):
+    from reelquery.operators import merge, segments
+
+    frames = spark.createDataFrame([(1, 500, "a", 0.9, [0.0, 9.0], [1.0, 2.0]), (1, 1000, "", 0.0, [0.0, 0.0], [0.0, 0.0]), (1, 1500, "", 0.0, [0.0, 0.0], [0.0, 0.0]), (1, 2000, "b", 0.8, [0.0, 9.0], [1.0, 2.0])], "video_id long, timestamp long, text string, text_confidence double, x_range array<double>, y_range array<double>")
+    runs = merge.runs(frames)
+    assert [(r.text, r.end_ms) for r in runs.orderBy("seg_idx").collect()] == [("a", 1000), ("b", 2000)]
+    assert _joined_by(runs).count("Window [") <= 4
+    stats = spark.createDataFrame([(1, 1.0, 2.0)], "video_id long, avg_top double, avg_bottom double")
+    out = segments.adjusted(runs, frames, stats, 720.0)
+    assert out.columns == [*runs.columns, "y_penalty", "iso_penalty", "adjusted_confidence"]
+    # The middle of the first is at 750, with frames at 500 and 2000.
+    assert [r.iso_penalty for r in out.orderBy("seg_idx").collect()] == [250 / 1500, 1.0]
+    assert _joined_by(out).count("Join ") == 1
