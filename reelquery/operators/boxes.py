@@ -134,12 +134,11 @@ def filtered_frames(adjusted_boxes: DataFrame, frames: DataFrame) -> DataFrame:
     keeps them, and of one with some they are made from the boxes that are left.
     """
     fields = ("text", "text_confidence", "x_range", "y_range")
-    some = F.max("is_outlier").alias("touched")
-    touched = adjusted_boxes.groupBy("video_id", "timestamp").agg(some).filter(~F.col("touched"))
+    left = frames_of(adjusted_boxes, ~F.col("is_outlier"), F.max("is_outlier").alias("touched")).filter(F.size("boxes") > 0)
     given = frames.select("video_id", "timestamp", F.struct(*fields).alias("given"))
-    whole = touched.join(given, ["video_id", "timestamp"]).select("video_id", "timestamp", "given")
-    left = aggregate_boxes(frames_of(adjusted_boxes.filter(~F.col("is_outlier")))).join(whole, ["video_id", "timestamp"], "left")
-    return left.select("video_id", "timestamp", *[F.when(F.col("given").isNotNull(), F.col(f"given.{c}")).otherwise(F.col(c)).alias(c) for c in fields], "boxes")
+    rows = left.select("video_id", "timestamp", *frame_fields(F.col("boxes")), "boxes", "touched").join(given, ["video_id", "timestamp"], "left")
+    whole = ~F.col("touched") & F.col("given").isNotNull()
+    return rows.select("video_id", "timestamp", *[F.when(whole, F.col(f"given.{c}")).otherwise(F.col(c)).alias(c) for c in fields], "boxes")
 
 
 def expand_times(frames: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def box_columns() -> dict[str, Column]:
     return {
         "video_id": F.col("l_orderkey") % 20,
         "timestamp": F.col("l_orderkey") * 500,
-        "box_idx": F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE)),
+        # By the columns that name a frame, so that frames can be made of boxes where these are.
+        "box_idx": F.row_number().over(Window.partitionBy("video_id", "timestamp").orderBy(*LINE)),
         "text": F.when(F.col("l_linenumber") == 7, " ").otherwise(F.concat("l_returnflag", "l_linestatus")),
         "text_confidence": 1 - F.col("l_discount") * 3,
         "box_confidence": 1 - F.col("l_tax") * 4,
@@ -62,7 +63,9 @@ def box_columns() -> dict[str, Column]:
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """video_id, timestamp, box_idx and the columns of a box."""
-    flat = table(spark, sf_dir, "lineitem").select(*[c.alias(n) for n, c in box_columns().items()])
+    columns = box_columns()
+    named = {n: columns.pop(n) for n in ("video_id", "timestamp")}
+    flat = table(spark, sf_dir, "lineitem").withColumns(named).select(*named, *[c.alias(n) for n, c in columns.items()])
     left, right, top, bottom = F.col("cx") - F.col("width") / 2, F.col("cx") + F.col("width") / 2, F.col("top"), F.col("top") + F.col("height")
     return flat.select(
         "video_id",
@@ -90,10 +93,11 @@ boxes AS (
     FROM lineitem))"""
 
 
-def frames_of(boxes: DataFrame) -> DataFrame:
-    """video_id, timestamp, boxes: the boxes of each frame as one array, by box_idx."""
+def frames_of(boxes: DataFrame, kept: Column | None = None, *more: Column) -> DataFrame:
+    """video_id, timestamp, boxes: the boxes of each frame as one array, by box_idx, or those that are kept; more: aggregates over all boxes of the frame."""
     names = ["box_idx", *[f.split(":")[0] for f in ("text", "text_confidence", "box_confidence", "bbox", "x_range", "y_range", "center")]]
-    rows = boxes.groupBy("video_id", "timestamp").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("boxes"))
+    box = F.struct(*names)
+    rows = boxes.groupBy("video_id", "timestamp").agg(F.sort_array(F.collect_list(box if kept is None else F.when(kept, box))).alias("boxes"), *more)
     return rows.withColumn("boxes", F.transform("boxes", lambda b: F.struct(*[b[n].alias(n) for n in names[1:]])))
 
 

@@ -90,3 +90,16 @@ def test_segments_are_scored_without_a_join_to_themselves(spark):
     # The middle of the first is at 750, with frames at 500 and 2000.
     assert [r.iso_penalty for r in out.orderBy("seg_idx").collect()] == [250 / 1500, 1.0]
     assert _joined_by(out).count("Join ") == 1
+
+
+def test_boxes_become_frames_where_they_are(spark):
+    from reelquery.plans import catalog
+
+    # The shuffles of a plan that isn't adapted: one of narrow rows makes the frames.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name, most in (("frame_aggregate", 1), ("box_filter", 10)):
+            plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(") <= most
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
